@@ -121,8 +121,9 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
 
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
     # The sample has SAMPLE_PER_LANGUAGE rows a language: small enough to broadcast.
-    got = texts.join(F.broadcast(sample), "id").select("lang", "text").mapInArrow(run, "lang string, where array<int>, count array<int>").toPandas()
-    rows = sorted(zip(got["lang"], got["where"], got["count"]), key=lambda r: (r[0], len(r[1]), bytes(r[1]), bytes(r[2])))
+    got = texts.join(F.broadcast(sample), "id").select("lang", "text").mapInArrow(run, "lang string, where array<int>, count array<int>").toArrow()
+    arrays = lambda name: [x.values.to_numpy() for x in got.column(name)]
+    rows = sorted(zip(got.column("lang").to_pylist(), arrays("where"), arrays("count")), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     seen = np.ones(DIMENSIONS)
     for _, where, _ in rows:
         seen[where] += 1
