@@ -10,7 +10,7 @@ stream in turn. All documents' places in it follow from sums over buckets of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ._common import n_words, null_last_key, seeded, table, without
@@ -22,19 +22,21 @@ REPEATS = 3
 WEIGHTS = (1, 2, 3)  # of the sources by name, repeating
 SEED = 30
 
-_ALL = Window.partitionBy(F.lit(0))
+
+def _all() -> WindowSpec:
+    return Window.partitionBy(F.lit(0))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(__k, source_size) with weight, total and target; one row a source, so a single task can sum them."""
-    ranked = sizes.withColumn("__i", F.row_number().over(_ALL.orderBy("__k")))
+    ranked = sizes.withColumn("__i", F.row_number().over(_all().orderBy("__k")))
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.pmod(F.col("__i") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    ranked = ranked.withColumns({"weight": weight.cast("long"), "total": F.sum("source_size").over(_ALL), "cap": F.col("source_size") * REPEATS})
-    by_level = _ALL.orderBy(F.col("cap") / F.col("weight"), "__k")
+    ranked = ranked.withColumns({"weight": weight.cast("long"), "total": F.sum("source_size").over(_all()), "cap": F.col("source_size") * REPEATS})
+    by_level = _all().orderBy(F.col("cap") / F.col("weight"), "__k")
     # Sources before this one are full: the rest of the total is shared by the weights from here on.
     ranked = ranked.withColumns({"left": F.col("total") - F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "open": F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))})
     fits = F.col("left") * F.col("weight") <= F.col("cap") * F.col("open")
-    first = F.min(F.when(fits, F.struct(F.col("cap") / F.col("weight"), F.col("__k"), F.col("left"), F.col("open")))).over(_ALL)
+    first = F.min(F.when(fits, F.struct(F.col("cap") / F.col("weight"), F.col("__k"), F.col("left"), F.col("open")))).over(_all())
     ranked = ranked.withColumn("__f", first)
     level = F.col("__f.left") * F.col("weight") / F.col("__f.open")
     full = F.col("__f").isNull() | (level > F.col("cap"))
@@ -48,7 +50,7 @@ def seats(targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Dat
     most = F.least(F.floor(F.col("target") / F.col("block") + 0.5) + 1, F.expr(f"source_size * {REPEATS} div block")).cast("int")
     asked = sized.where(most > 0).withColumn("k", F.explode(F.sequence(F.lit(0), most - 1)))
     # At most blocks + 2 rows a source: one task ranks them.
-    ranked = asked.withColumn("rank", F.row_number().over(_ALL.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "__k")) - 1)
+    ranked = asked.withColumn("rank", F.row_number().over(_all().orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "__k")) - 1)
     return ranked.where("rank < n").select("__k", "k", "block", F.expr(f"rank * {shards} div n").cast("int").alias("shard"))
 
 
