@@ -107,12 +107,16 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
     """Learns from documents with a language whose crc32(doc_id) modulo 4 is not 2.
 
     At most SAMPLE_PER_LANGUAGE of each language, those of the smallest hash of the id; the driver gets only their
-    n-gram counts. A text without a letter teaches nothing.
+    n-gram counts. A text without a letter teaches nothing. Only rows whose hash lies in the lowest part of its range
+    that should hold twice as many are ranked, so the task that ranks a language gets no more rows from more input.
     """
     own = F.xxhash64(doc_id)
     named = docs.where(F.col(lang).isNotNull() & (crc_mod(doc_id, 4) != 2)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), own.alias("h"))
+    # One row a language, of which the model itself holds CENTROIDS vectors on the driver.
+    held = F.broadcast(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    low = named.join(held, "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2 * SAMPLE_PER_LANGUAGE)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    sample = named.withColumn("r", rank).where(f"r <= {SAMPLE_PER_LANGUAGE}").select("id", "lang").distinct()
+    sample = low.withColumn("r", rank).where(f"r <= {SAMPLE_PER_LANGUAGE}").select("id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
