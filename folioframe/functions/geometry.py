@@ -64,3 +64,37 @@ def distance(p: str, q: str) -> Column:
 def to_pixels(left: Column, top: Column, page_height: Column, dpi: int) -> tuple[Column, Column]:
     """Points with the origin at the bottom to pixels with the origin at the top."""
     return left * dpi / 72, (page_height - top) * dpi / 72
+
+
+def corners(cx: Column, cy: Column, w: Column, h: Column, scale: tuple[float, float], offset: tuple[float, float] = (0.0, 0.0)) -> list[Column]:
+    """x0, y0, x1, y1 of a box given by its centre and size as shares of an image."""
+    (sx, sy), (ox, oy) = scale, offset
+    return [(cx - w / 2) * sx + ox, (cy - h / 2) * sy + oy, (cx + w / 2) * sx + ox, (cy + h / 2) * sy + oy]
+
+
+def padded_crop(p: str, pad: int, image: tuple[int, int]) -> list[Column]:
+    """The box grown by pad to whole pixels, clamped to the image."""
+    a = _b(p)
+    low = [F.greatest(F.lit(0), F.floor(a[i]) - pad) for i in (0, 1)]
+    high = [F.least(F.lit(image[i]), F.ceil(a[i + 2]) + pad) for i in (0, 1)]
+    return [c.cast("int") for c in low + high]
+
+
+def quad_order(points: Column) -> Column:
+    """Top left, top right, bottom right, bottom left of an array of structs (x, y): extremes of x + y and y - x."""
+    by = lambda f, last: F.get(F.transform(F.array_sort(F.transform(points, lambda q: F.struct(f(q).alias("k"), q.alias("q")))), lambda s: s["q"]), F.size(points) - 1 if last else F.lit(0))
+    total, slope = (lambda q: q["x"] + q["y"]), (lambda q: q["y"] - q["x"])
+    return F.array(by(total, False), by(slope, False), by(total, True), by(slope, True))
+
+
+def unclip_offset(w: Column, h: Column, ratio: float) -> Column:
+    """How far a rectangle's sides move out: area * ratio / perimeter."""
+    return F.when(w + h > 0, w * h * ratio / (2 * (w + h))).otherwise(0.0)
+
+
+def valid(p: str = "") -> Column:
+    """Four finite numbers, not reversed."""
+    a = _b(p)
+    whole = ~(F.isnan(a[0]) | F.isnan(a[1]) | F.isnan(a[2]) | F.isnan(a[3]))
+    finite = F.greatest(*[F.abs(c) for c in a]) < float("inf")
+    return F.coalesce(whole & finite & (a[0] <= a[2]) & (a[1] <= a[3]), F.lit(False))

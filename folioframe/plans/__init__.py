@@ -1,0 +1 @@
+from . import checks, queries  # noqa: F401
