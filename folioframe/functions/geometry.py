@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +26,10 @@ def area(p: str = "") -> Column:
 
 
 def intersection(p: str, q: str) -> Column:
+    """The shared area; a box with a missing side shares none (greatest and least alone would skip it)."""
     a, b = _b(p), _b(q)
     side = lambda i: F.greatest(F.lit(0.0), F.least(a[i + 2], b[i + 2]) - F.greatest(a[i], b[i]))
-    return side(0) * side(1)
+    return F.when(reduce(add, a + b).isNotNull(), side(0) * side(1)).otherwise(0.0)
 
 
 def _share(part: Column, whole: Column) -> Column:

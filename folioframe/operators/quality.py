@@ -134,3 +134,46 @@ def manifest_violations(files: DataFrame) -> DataFrame:
     }
     broken = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
     return files.withColumn("rules", broken).select("manifest", "id", F.explode("rules").alias("rule"))
+
+
+def reference_cells(rows: DataFrame, columns: DataFrame, spanning: DataFrame, headers: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, problems) of annotated tables (table_id and a box; slots: table_id, row_index, column_index, text).
+
+    Spanning boxes hold the rows and columns whose centre they contain (a pixel of tolerance) and the texts of those
+    slots, spaced, in row order, empty ones left out; one with ``projected`` is a header. Every other row x column is
+    a cell; its row decides whether it is a header: one whose box a header box covers by more than half. problems
+    (table_id, rule) are ``grids_differ`` (the slots say another number of rows or columns), ``span_without_slot``
+    and ``spans_overlap``; tables with a problem give no cells.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    named = lambda df, p: [F.col(c).alias(p + c) for c in box if c in df.columns]
+    tops = headers.select("table_id", *named(headers, "h_"))
+
+    def headed(df: DataFrame, p: str, number: str, order: list[str], *more: str) -> DataFrame:
+        numbered = df.select("table_id", *more, *named(df, p), (F.row_number().over(Window.partitionBy("table_id").orderBy(*order)) - 1).alias(number))
+        share = F.max(F.coalesce(G.coverage(p, "h_"), F.lit(0.0))) > 0.5
+        return numbered.join(tops, "table_id", "left").groupBy(*numbered.columns).agg(share.alias(p + "header"))
+
+    r, c = headed(rows, "r_", "row_index", ["y0", "x0"]), headed(columns, "c_", "column_index", ["x0", "y0"]).drop("c_header")
+    s = headed(spanning, "s_", "span_id", ["y0", "x0", "x1", "y1"], "projected")
+    cross = r.join(c, "table_id")  # the slots of a table
+    holds = "(r_y0 + r_y1) / 2 BETWEEN s_y0 - 1 AND s_y1 + 1 AND (c_x0 + c_x1) / 2 BETWEEN s_x0 - 1 AND s_x1 + 1"
+    slot = ["table_id", "row_index", "column_index"]
+    texts = slots.select(*slot, F.when(F.col("text") != "", F.col("text")).alias("text"))
+    hit = cross.join(s, "table_id").where(holds)
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("row_index", "column_index", "text")))), lambda x: x["text"]), " ")
+    header = (F.col("projected") | F.col("s_header")).alias("is_header")
+    big = hit.join(texts, slot, "left").groupBy("table_id", "span_id", header, *[F.col("s_" + b).alias(b) for b in box]).agg(F.min("row_index").alias("row"), F.min("column_index").alias("column"), F.count_distinct("row_index").alias("row_span"), F.count_distinct("column_index").alias("column_span"), ordered.alias("text"))
+    plain = cross.join(hit.select(*slot).distinct(), slot, "left_anti").join(texts, slot, "left")
+    sides = [F.greatest("r_x0", "c_x0").alias("x0"), F.greatest("r_y0", "c_y0").alias("y0"), F.least("r_x1", "c_x1").alias("x1"), F.least("r_y1", "c_y1").alias("y1")]
+    one = F.lit(1).cast("long")
+    small = plain.select("table_id", F.col("row_index").alias("row"), F.col("column_index").alias("column"), one.alias("row_span"), one.alias("column_span"), F.col("r_header").alias("is_header"), *sides, F.coalesce("text", F.lit("")).alias("text"))
+    cells = big.select(*small.columns).unionByName(small).withColumnsRenamed({"row": "row_index", "column": "column_index"})
+
+    count = lambda df, n, what=F.count(F.lit(1)): df.groupBy("table_id").agg(what.cast("long").alias(n))
+    sizes = count(rows, "n_r").join(count(columns, "n_c"), "table_id", "full").join(count(slots, "m_r", F.max("row_index") + 1), "table_id", "full").join(count(slots, "m_c", F.max("column_index") + 1), "table_id", "full").na.fill(0)
+    lost = s.join(hit.select("table_id", "span_id").distinct(), ["table_id", "span_id"], "left_anti")
+    twice = hit.groupBy(*slot).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rule = lambda df, name: df.select("table_id", F.lit(name).alias("rule")).distinct()
+    problems = rule(sizes.where("n_r <> m_r OR n_c <> m_c"), "grids_differ").unionByName(rule(lost, "span_without_slot")).unionByName(rule(twice, "spans_overlap"))
+    return cells.join(problems, "table_id", "left_anti"), problems

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from collections import OrderedDict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,3 +80,89 @@ def overlays(lines: DataFrame, blocks: DataFrame, order: DataFrame) -> DataFrame
     ranked = blocks.join(order.select(*PAGE, "block_index", "sequence_index"), [*PAGE, "block_index"])
     parts = [shape(lines, "text", name("text-line-", "line_index"), F.lit("text"), none), shape(blocks, "layout", name("layout-block-", "block_index"), F.col("type"), none)]
     return parts[0].unionByName(parts[1]).unionByName(shape(ranked, "reading_order", F.concat(name("order-", "sequence_index"), F.lit("-"), F.col("block_index").cast("string")), F.col("type"), F.col("sequence_index")))
+
+
+def create_runs(asked: DataFrame, documents: DataFrame, workers: DataFrame, registered: dict[str, tuple[str, ...]]) -> DataFrame:
+    """run_id, document_id, status (202 accepted, 422, 409, 404), problem (null: accepted) and job (JSON) of requests.
+
+    asked: run_id, document_id, dpi, timeout_seconds, maximum_pages and a column of the backend's name per stage;
+    documents: document_id, path, size_bytes, sha256; workers: worker_id and an array of backends per stage. In this
+    order: a name that is not registered is 422, one that not every worker has is 409 (without workers all count), an
+    unknown document is 404. Names are compared as they are; a null name is not registered.
+    """
+    stages = list(registered)
+    # One row: the backends that all workers have, per stage.
+    shared = workers.agg(F.count_distinct("worker_id").alias("__w"), *[F.collect_list(s).alias("__" + s) for s in stages])
+    has = lambda s: (F.col("__w") == 0) | ~F.exists("__" + s, lambda held: ~F.array_contains(held, F.col(s)))
+    unknown = F.coalesce(*[F.when(~F.coalesce(F.col(s).isin(*registered[s]), F.lit(False)), F.lit(s)) for s in stages])
+    lacking = F.coalesce(*[F.when(~F.coalesce(has(s), F.lit(False)), F.lit(s)) for s in stages])
+    both = asked.join(documents, "document_id", "left").join(F.broadcast(shared))  # one row
+    status = F.when(unknown.isNotNull(), 422).when(lacking.isNotNull(), 409).when(F.col("path").isNull(), 404).otherwise(202)
+    problem = F.coalesce(F.concat(F.lit("unknown backend: "), unknown), F.concat(F.lit("no common capability: "), lacking), F.when(F.col("path").isNull(), "document not found"))
+    source = F.struct(F.concat(F.lit("file://"), "path").alias("uri"), "sha256", "size_bytes")
+    limits = F.struct("timeout_seconds", "maximum_pages")
+    job = F.struct(F.lit(1).alias("schema_version"), F.concat(F.lit("job_"), "run_id").alias("job_id"), "document_id", "run_id", source.alias("input"), F.struct("dpi", F.struct(*stages).alias("backends")).alias("pipeline"), limits.alias("limits"))
+    return both.select("run_id", "document_id", status.alias("status"), problem.alias("problem"), F.when(status == 202, F.to_json(job)).alias("job"))
+
+
+def next_reads(messages: DataFrame, pending: DataFrame, consumer: str, now: Column, idle_seconds: int = 30, count: int = 50) -> DataFrame:
+    """message_id and via of what a consumer reads next, at most ``count``, by id: its own pending messages (``own``),
+    else those that another has held for ``idle_seconds`` (``claimed``), else messages that nobody has (``new``).
+
+    messages: message_id, those after the group's last; pending: message_id, consumer, since (a timestamp).
+    """
+    age = F.unix_timestamp(now) - F.unix_timestamp("since")
+    held = pending.select("message_id", F.when(F.col("consumer") == consumer, 0).when(age >= idle_seconds, 1).alias("way")).where("way IS NOT NULL")
+    fresh = messages.join(pending, "message_id", "left_anti").select("message_id", F.lit(2).alias("way"))
+    # The first rows by way and id: each task keeps ``count`` of its own.
+    first = held.unionByName(fresh).orderBy("way", "message_id").limit(count)
+    best = first.agg(F.min("way").alias("best"))
+    return first.join(F.broadcast(best), F.col("way") == F.col("best")).select("message_id", F.element_at(F.array(F.lit("own"), F.lit("claimed"), F.lit("new")), F.col("way") + 1).alias("via"))
+
+
+def retained(events: DataFrame, now: Column, longest: int = 2000, days: int = 7) -> DataFrame:
+    """Events (run_id, sequence, at) that are still held: the last ``longest`` of each run by its gapless sequence, and
+    none of a run whose last event is older than ``days``. Sums per run are joined, so no run is sorted."""
+    last = events.groupBy("run_id").agg(F.max("sequence").alias("__last"), F.max("at").alias("__at"))
+    alive = last.where(F.col("__at") >= now - F.make_dt_interval(F.lit(days)))
+    return events.join(alive, "run_id").where(F.col("sequence") > F.col("__last") - longest).drop("__last", "__at")
+
+
+def live_workers(beats: DataFrame, now: Column, expire_seconds: int = 30) -> DataFrame:
+    """worker_id and last_beat of the workers whose last beat (worker_id, at) is not over ``expire_seconds`` old."""
+    last = beats.groupBy("worker_id").agg(F.max("at").alias("last_beat"))
+    return last.where(F.unix_timestamp(now) - F.unix_timestamp("last_beat") <= expire_seconds)
+
+
+def stage_view(pages: DataFrame, blocks: DataFrame, stage: str) -> DataFrame:
+    """What a stage made of each document: doc_id, page_number, output (JSON).
+
+    ``assembly`` and ``export``: one row of the document's blocks (page_number null). ``render``: each page's image.
+    Other stages: the page's debug output of that name (pages: doc_id, page_number, image, debug map<string,string>;
+    ``text`` and ``table`` are held as text and tables), null if it has none."""
+    if stage in ("assembly", "export"):
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("global_order", "id", "type", "text"))), lambda b: F.struct(b["id"].alias("id"), b["type"].alias("type"), b["text"].alias("text")))
+        return blocks.groupBy("doc_id").agg(F.to_json(F.struct(listed.alias("blocks"))).alias("output")).select("doc_id", F.lit(None).cast("int").alias("page_number"), "output")
+    output = F.col("image") if stage == "render" else F.try_element_at("debug", F.lit({"table": "tables"}.get(stage, stage)))
+    return pages.select("doc_id", "page_number", output.alias("output"))
+
+
+class EngineCache:
+    """Engines by their backends, the least recently used one leaving when a new one is ready and the cache is full.
+
+    One a Python worker process: models are loaded once for many batches. An engine that cannot be made raises its
+    error and costs no other its place."""
+
+    def __init__(self, make: Callable[[tuple], object], capacity: int = 2):
+        if capacity < 1:
+            raise ValueError("the capacity must be positive")
+        self.make, self.capacity, self.held = make, capacity, OrderedDict()
+
+    def get(self, backends: tuple) -> object:
+        if backends not in self.held:
+            engine = self.make(backends)
+            if len(self.held) == self.capacity:
+                self.held.popitem(last=False)
+            self.held[backends] = engine
+        self.held.move_to_end(backends)
+        return self.held[backends]

@@ -1 +1 @@
-from . import checks, queries  # noqa: F401
+from . import checks, queries, runs  # noqa: F401
