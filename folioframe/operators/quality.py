@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -36,18 +37,30 @@ def cell_text_scores(references: DataFrame, predictions: DataFrame, key: list[st
     return out.withColumns({"cell_coverage": F.col("matched_cells") / n, "exact_text_cell_rate": F.col("exact_text_cells") / n, "table_text_cer": ratio(F.col("character_edit_distance"), F.col("reference_characters"))})
 
 
+def _longest(text: str, block: str) -> tuple[int, int]:
+    """Characters in matching runs, and where the longest of them begins in the block."""
+    runs = SequenceMatcher(None, text, block, autojunk=False).get_matching_blocks()
+    return sum(r.size for r in runs), max(runs, key=lambda r: r.size).b
+
+
 @F.pandas_udf(StructType([StructField("matched", IntegerType()), StructField("position", DoubleType())]))
 def best_alignment(anchor: pd.Series, blocks: pd.Series) -> pd.DataFrame:
     """Characters of the anchor that the best block matches (the first of equals) and where its longest match begins:
     the block's number plus the share of the block before it."""
 
     def one(text: str, held: list[str]) -> tuple[int, float]:
-        best, at = 0, 0.0
-        for i, block in enumerate(held):
-            runs = SequenceMatcher(None, text, block, autojunk=False).get_matching_blocks()
-            n = sum(r.size for r in runs)
-            if n > best:
-                best, at = n, i + max(runs, key=lambda r: r.size).b / max(len(block), 1)
+        # No block matches more characters than the two have in common, whatever their order: the most promising
+        # blocks come first, and those that cannot win are not compared.
+        own = Counter(text)
+        most = sorted((-(own & Counter(block)).total(), i) for i, block in enumerate(held))
+        best, first, at = 0, len(held), 0.0
+        for bound, i in most:
+            if (-bound, -i) < (best, -first) or not bound:
+                break
+            block = held[i]
+            n, start = (len(text), block.find(text)) if text in block else _longest(text, block)
+            if (n, -i) > (best, -first):
+                best, first, at = n, i, i + start / max(len(block), 1)
         return best, at
 
     return pd.DataFrame([one(a or "", [b or "" for b in held] if held is not None else []) for a, held in zip(anchor, blocks)], columns=["matched", "position"])

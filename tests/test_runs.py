@@ -1,7 +1,10 @@
 """Backends, model inputs, annotated tables, run service and streams on small cases."""
 
 import json
+import random
+from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +69,20 @@ def test_a_table_without_headers_has_no_header_cells(spark):
     assert [r.is_header for r in tables.grid(rows, columns, none, none).collect()] == [False]
 
 
+def test_alignment_is_that_of_the_first_best_block():
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choices("abc ", k=draw.randint(0, n)))
+    texts, blocks = [word(9) for _ in range(300)], [[word(14) for _ in range(draw.randint(0, 5))] for _ in range(300)]
+    found = quality.best_alignment.func(pd.Series(texts), pd.Series(blocks))
+    for text, held, n, at in zip(texts, blocks, found["matched"], found["position"]):
+        best, where = 0, 0.0
+        for i, block in enumerate(held):
+            runs = SequenceMatcher(None, text, block, autojunk=False).get_matching_blocks()
+            if sum(r.size for r in runs) > best:
+                best, where = sum(r.size for r in runs), i + max(runs, key=lambda r: r.size).b / len(block)
+        assert (n, at) == (best, where)
+
+
 def test_run_requests(spark):
     asked = spark.createDataFrame([("r1", "d1", 200, 60, 5, "pdf", "noop"), ("r2", "d2", 200, 60, 5, "pdf", "noop"), ("r3", "d1", 200, 60, 5, "pdf", "x"), ("r4", "d1", 200, 60, 5, "pdf", None)], "run_id string, document_id string, dpi int, timeout_seconds int, maximum_pages int, document string, ocr string")
     documents = spark.createDataFrame([("d1", "/a.pdf", "ff", 3)], "document_id string, path string, sha256 string, size_bytes int")
