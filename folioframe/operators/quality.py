@@ -167,26 +167,35 @@ def reference_cells(rows: DataFrame, columns: DataFrame, spanning: DataFrame, he
         share = F.max(F.coalesce(G.coverage(p, "h_"), F.lit(0.0))) > 0.5
         return numbered.join(tops, "table_id", "left").groupBy(*numbered.columns).agg(share.alias(p + "header"))
 
-    r, c = headed(rows, "r_", "row_index", ["y0", "x0"]), headed(columns, "c_", "column_index", ["x0", "y0"]).drop("c_header")
+    table = Window.partitionBy("table_id")
+    count = lambda df, n: df.withColumn(n, F.count(F.lit(1)).over(table))
+    r, c = count(headed(rows, "r_", "row_index", ["y0", "x0"]), "n_r"), count(headed(columns, "c_", "column_index", ["x0", "y0"]).drop("c_header"), "n_c")
     s = headed(spanning, "s_", "span_id", ["y0", "x0", "x1", "y1"], "projected")
-    cross = r.join(c, "table_id")  # the slots of a table
-    holds = "(r_y0 + r_y1) / 2 BETWEEN s_y0 - 1 AND s_y1 + 1 AND (c_x0 + c_x1) / 2 BETWEEN s_x0 - 1 AND s_x1 + 1"
+    holds = (((F.col("r_y0") + F.col("r_y1")) / 2).between(F.col("s_y0") - 1, F.col("s_y1") + 1)) & (((F.col("c_x0") + F.col("c_x1")) / 2).between(F.col("s_x0") - 1, F.col("s_x1") + 1))
     slot = ["table_id", "row_index", "column_index"]
     texts = slots.select(*slot, F.when(F.col("text") != "", F.col("text")).alias("text"))
-    hit = cross.join(s, "table_id").where(holds)
+    said = texts.groupBy("table_id").agg((F.max("row_index") + 1).alias("m_r"), (F.max("column_index") + 1).alias("m_c"))
+    asked = s.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_s"))
+    # The slots of each table with the spanning boxes that hold them; a table is small, its parts meet by its id.
+    cross = r.join(c, "table_id")
+    by_span = s.withColumnRenamed("table_id", "s_table")
+    marked = cross.join(by_span, (F.col("table_id") == F.col("s_table")) & holds, "left").drop("s_table")
+    marked = marked.join(said, "table_id", "left").join(asked, "table_id", "left").withColumn("held", F.count("span_id").over(Window.partitionBy(*slot)))
+    found = F.size(F.collect_set("span_id").over(table))
+    marked = marked.withColumns({"spans_overlap": F.max("held").over(table) > 1, "span_without_slot": found < F.coalesce("n_s", F.lit(0))})
+
+    whole = marked.where("NOT spans_overlap AND NOT span_without_slot AND n_r = m_r AND n_c = m_c").join(texts, slot, "left")
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("row_index", "column_index", "text")))), lambda x: x["text"]), " ")
-    header = (F.col("projected") | F.col("s_header")).alias("is_header")
-    big = hit.join(texts, slot, "left").groupBy("table_id", "span_id", header, *[F.col("s_" + b).alias(b) for b in box]).agg(F.min("row_index").alias("row"), F.min("column_index").alias("column"), F.count_distinct("row_index").alias("row_span"), F.count_distinct("column_index").alias("column_span"), ordered.alias("text"))
-    plain = cross.join(hit.select(*slot).distinct(), slot, "left_anti").join(texts, slot, "left")
-    sides = [F.greatest("r_x0", "c_x0").alias("x0"), F.greatest("r_y0", "c_y0").alias("y0"), F.least("r_x1", "c_x1").alias("x1"), F.least("r_y1", "c_y1").alias("y1")]
-    one = F.lit(1).cast("long")
-    small = plain.select("table_id", F.col("row_index").alias("row"), F.col("column_index").alias("column"), one.alias("row_span"), one.alias("column_span"), F.col("r_header").alias("is_header"), *sides, F.coalesce("text", F.lit("")).alias("text"))
-    cells = big.select(*small.columns).unionByName(small).withColumnsRenamed({"row": "row_index", "column": "column_index"})
-
-    count = lambda df, n, what=F.count(F.lit(1)): df.groupBy("table_id").agg(what.cast("long").alias(n))
-    sizes = count(rows, "n_r").join(count(columns, "n_c"), "table_id", "full").join(count(slots, "m_r", F.max("row_index") + 1), "table_id", "full").join(count(slots, "m_c", F.max("column_index") + 1), "table_id", "full").na.fill(0)
-    lost = s.join(hit.select("table_id", "span_id").distinct(), ["table_id", "span_id"], "left_anti")
-    twice = hit.groupBy(*slot).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    plain = F.col("span_id").isNull()
+    own = {n: F.when(plain, F.col(n)) for n in ("row_index", "column_index")}  # a slot without a span is a cell
+    sides = {"x0": F.greatest("r_x0", "c_x0"), "y0": F.greatest("r_y0", "c_y0"), "x1": F.least("r_x1", "c_x1"), "y1": F.least("r_y1", "c_y1")}
+    first = [F.first(F.when(plain, sides[b]).otherwise(F.col("s_" + b))).alias(b) for b in box]
+    header = F.first(F.when(plain, F.col("r_header")).otherwise(F.col("projected") | F.col("s_header"))).alias("is_header")
+    cells = whole.groupBy("table_id", "span_id", own["row_index"].alias("own_row"), own["column_index"].alias("own_column")).agg(F.min("row_index").alias("row_index"), F.min("column_index").alias("column_index"), F.count_distinct("row_index").alias("row_span"), F.count_distinct("column_index").alias("column_span"), header, *first, ordered.alias("text")).drop("span_id", "own_row", "own_column")
+
+    # Tables that lack rows, columns or slots altogether have no slot above.
+    sizes = r.groupBy("table_id").agg(F.first("n_r").alias("n_r")).join(c.groupBy("table_id").agg(F.first("n_c").alias("n_c")), "table_id", "full").join(said, "table_id", "full").na.fill(0)
+    lost = marked.groupBy("table_id").agg(F.first("span_without_slot").alias("lost")).join(asked, "table_id", "right").where("coalesce(lost, true)")
     rule = lambda df, name: df.select("table_id", F.lit(name).alias("rule")).distinct()
-    problems = rule(sizes.where("n_r <> m_r OR n_c <> m_c"), "grids_differ").unionByName(rule(lost, "span_without_slot")).unionByName(rule(twice, "spans_overlap"))
-    return cells.join(problems, "table_id", "left_anti"), problems
+    problems = rule(sizes.where("n_r <> m_r OR n_c <> m_c"), "grids_differ").unionByName(rule(lost, "span_without_slot")).unionByName(rule(marked.where("spans_overlap"), "spans_overlap"))
+    return cells, problems
