@@ -4,8 +4,10 @@ Targets: the sources' weights share the corpus's size; no source gives more than
 what is above is shared again by weight (water filling, solved in one pass over the sources sorted by the level at
 which they are full). The targets are apportioned in blocks of equal size: the block with the highest quotient
 target / (2k + 1) is next, and every run of ``blocks // shards`` blocks is a shard, so each shard has integer quotas
-of each source. A source's documents, shuffled by seed, form a stream that repeats; its blocks are taken from the
-stream in turn. All documents' places in it follow from sums over buckets of the shuffle.
+of each source. Sources whose target is below FINE blocks, which blocks would miss by more than about a word in FINE,
+are settled to the word instead, and the blocks share the rest. A source's documents, shuffled by seed, form a stream
+that repeats; its blocks or words are taken from the stream in turn. All documents' places in it follow from sums over
+buckets of the shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from .shards import bucket
 
 SHARDS = 16
 BLOCKS = 32_768  # blocks of the whole mix, at most
+FINE = 200  # a source with a target of fewer blocks is settled to the word
 REPEATS = 3
 WEIGHTS = (1, 2, 3)  # of the sources by name, repeating
 SEED = 30
@@ -43,10 +46,17 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.withColumn("target", F.when(full, F.col("cap").cast("double")).otherwise(level)).select("__k", "source_size", "weight", "total", "target")
 
 
+def settled(targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """targets with block (words), words (of a source that is settled to the word, else null) and n (blocks of the rest)."""
+    sized = targets.withColumn("block", F.greatest(F.ceil(F.col("total") / blocks), F.lit(1)).cast("long"))
+    small = (F.col("block") > 1) & (F.col("target") < FINE * F.col("block"))
+    sized = sized.withColumn("words", F.when(small, F.round("target")).cast("long"))
+    return sized.withColumn("__rest", F.col("total") - F.coalesce(F.sum("words").over(_all()), F.lit(0))).withColumn("n", F.expr("__rest div block")).drop("__rest")
+
+
 def seats(targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """One row for each block of the mix: source, its number of blocks before, shard. At most ``blocks`` rows."""
-    block = F.greatest(F.ceil(F.col("total") / blocks), F.lit(1)).cast("long")
-    sized = targets.withColumn("block", block).withColumn("n", F.expr("total div block"))
+    sized = settled(targets, blocks).where("words IS NULL")
     most = F.least(F.floor(F.col("target") / F.col("block") + 0.5) + 1, F.expr(f"source_size * {REPEATS} div block")).cast("int")
     asked = sized.where(most > 0).withColumn("k", F.explode(F.sequence(F.lit(0), most - 1)))
     # At most blocks + 2 rows a source: one task ranks them.
@@ -55,8 +65,16 @@ def seats(targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Dat
 
 
 def shard_quotas(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """(shard, source, quota, block): the blocks of ``block`` words that each shard takes of each source."""
-    quotas = seats(_targets(_placed(docs)), shards, blocks).groupBy("shard", "__k", "block").agg(F.count(F.lit(1)).alias("quota"))
+    """(shard, source, quota, block): the blocks of ``block`` words that each shard takes of each source.
+
+    The words of a source that is settled to the word are shared evenly, in blocks of one word."""
+    targets = _targets(_placed(docs))
+    quotas = seats(targets, shards, blocks).groupBy("shard", "__k", "block").agg(F.count(F.lit(1)).alias("quota"))
+    split = settled(targets, blocks).where("words > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    split = split.withColumn("quota", F.expr(f"words * (i + 1) div {shards} - words * i div {shards}")).where("quota > 0")
+    # Shards that get the odd words begin at another place for each source.
+    turned = F.pmod(F.xxhash64("__k") + F.col("i"), F.lit(shards)).cast("int")
+    quotas = quotas.unionByName(split.select(turned.alias("shard"), "__k", F.lit(1).cast("long").alias("block"), "quota"))
     return quotas.select("shard", F.when(F.col("__k") != "1", F.substr(F.col("__k"), F.lit(2))).alias("source"), "quota", "block")
 
 
@@ -83,15 +101,15 @@ def mix(docs: DataFrame, ties: tuple[str, ...] = (), seed: int = SEED, shards: i
 
     taken is the number of words that the mix takes of the row, repeats counted, at most REPEATS times its size;
     __start is its place in its source's stream, __cut_at the words of the last, incomplete round of the stream.
-    A source's taken words differ from its target by a block or two (1 / BLOCKS of the corpus). A null source is
-    one of its own, the last. Rows without a word are not taken. Equal doc_ids follow in the order of ``ties``.
+    A source's taken words differ from its target by a block or two (1 / BLOCKS of the corpus), and if its target is
+    below FINE blocks, by less than a word. A null source is one of its own, the last. Rows without a word are not taken. Equal doc_ids follow in the order of ``ties``.
     An empty table gives no rows; input columns named like a result are replaced.
     """
     placed = _placed(without(docs, [c for c in (*WORK, *RESULT) if c != "__size"]), seed)
     per_bucket = _buckets(placed)
     targets = source_targets(per_bucket.groupBy("__k").agg(F.sum("__n").alias("source_size")))
     drawn = seats(targets, shards, blocks).groupBy("__k").agg(F.sum("block").alias("__drawn"))
-    sources = targets.join(drawn, "__k", "left").select("__k", "source_size", "target", F.coalesce("__drawn", F.lit(0)).alias("__drawn"))
+    sources = settled(targets, blocks).join(drawn, "__k", "left").select("__k", "source_size", "target", F.coalesce("words", "__drawn", F.lit(0)).alias("__drawn"))
     ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per_bucket.withColumn("__before", ahead).join(sources, "__k").drop("__n")
     within = Window.partitionBy("__k", "__b").orderBy("__h", "doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)

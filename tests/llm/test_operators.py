@@ -235,6 +235,22 @@ def test_mix_on_awkward_rows(awkward):
     assert len(got) == awkward.count() and all(0 <= r.taken <= 3 * r["__size"] for r in got)
 
 
+def test_mix_settles_small_sources(spark):
+    big = [(i, f"big{i % 4}", 1_000_000) for i in range(80)]
+    small = [(100, "tiny", 300), (101, "tiny", 400), (102, "less", 60_000), (103, None, 1)]
+    df = spark.createDataFrame(big + small, "doc_id long, source string, __size long")
+    got = mixing.mix(df).toPandas()
+    by = got.groupby("source", dropna=False).agg(size=("source_size", "first"), t=("target", "first"), k=("taken", "sum"))
+    assert by.t["tiny"] == 2100 and by.k["tiny"] == 2100 and by.k["less"] == 180_000 and got.taken[got.source.isna()].sum() == 3
+    assert (abs(by.k - by.t) <= 0.01 * by.t).all() and (got.taken <= 3 * got["__size"]).all()
+    quotas = mixing.shard_quotas(df).toPandas()
+    words = (quotas.quota * quotas.block).groupby(quotas.source).sum()
+    assert all(words[s] == by.k[s] for s in ("big0", "big1", "big2", "big3", "tiny", "less"))
+    equal = spark.range(1000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"), F.lit(50).cast("long").alias("__size"))
+    sums = mixing.mix(equal, blocks=320).agg(F.sum("taken"), F.sum("target"), F.max(F.abs(F.col("taken") - F.col("target")))).first()
+    assert sums[2] <= 0.5 and abs(sums[0] - sums[1]) <= 0.01 * sums[1]
+
+
 # --- chat, WARC, benchmark
 
 
