@@ -350,7 +350,7 @@ _NORM = lambda c: TRIM.format(f"regexp_replace(lower({c}), '{WS}+', ' ', 'g')")
 
 
 def _pairs(spark, d):
-    a = read(spark, d, "conversations").select("conv_id", "turn", F.substring(F.regexp_replace("text", r"[^\x00-\x7F]", "_"), 1, 300).alias("text"))
+    a = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("text"))
     return a.select("conv_id", "turn", F.col("text").alias("reference")).join(a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction")), ["conv_id", "turn"], "left")
 
 

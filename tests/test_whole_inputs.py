@@ -1,0 +1,18 @@
+"""Queries against their SQL without its cuts: whole texts, whole lines, all orders."""
+
+import pytest
+
+from folioframe.plans.queries import QUERIES, SQL
+
+from .oracle import SF, assert_same
+
+CUTS = {"char_multiset_excess": [("left(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), 300)", "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')")]}
+CUTS["cer_wer"] = CUTS["char_multiset_excess"]
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_query_does_the_whole_input(spark, name):
+    whole = SQL[name]
+    for cut, rest in CUTS[name]:
+        whole = whole.replace(cut, rest)
+    assert_same(QUERIES[name](spark, SF), whole)
