@@ -34,7 +34,7 @@ def spans(line_rows: DataFrame) -> DataFrame:
 
 
 def tokens(line_rows: DataFrame) -> DataFrame:
-    """Characters of the first 200 of each line and a line break after it, in reading sequence within the page."""
-    chars = line_rows.withColumn("c", F.concat(F.split(F.substring("text", 1, 200), ""), F.array(F.lit("\n"))))
+    """Characters of each line and a line break after it, in reading sequence within the page."""
+    chars = line_rows.withColumn("c", F.concat(F.split("text", ""), F.array(F.lit("\n"))))
     ch = chars.select("doc_id", "page_index", "line_index", "x0", "y0", "y1", "source", F.posexplode("c").alias("pos", "text")).where("text <> ''")
-    return ch.select("doc_id", "page_index", (F.col("line_index") * 1000 + F.col("pos")).alias("token_index"), F.when(F.col("text") == "\n", "line_break").otherwise("glyph").alias("kind"), "text", (F.col("x0") + 8 * F.col("pos")).alias("x0"), "y0", (F.col("x0") + 8 * F.col("pos") + 8).alias("x1"), "y1", "source")
+    return ch.select("doc_id", "page_index", (F.col("line_index").cast("long") * 2**31 + F.col("pos")).alias("token_index"), F.when(F.col("text") == "\n", "line_break").otherwise("glyph").alias("kind"), "text", (F.col("x0") + 8 * F.col("pos")).alias("x0"), "y0", (F.col("x0") + 8 * F.col("pos") + 8).alias("x1"), "y1", "source")

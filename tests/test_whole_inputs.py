@@ -7,6 +7,7 @@ from folioframe.plans.queries import QUERIES, SQL
 from .oracle import SF, assert_same
 
 CUTS = {"char_multiset_excess": [("left(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), 300)", "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')")]}
+CUTS["glyphs_to_lines"] = [("left(text, 200)", "text")]
 CUTS["cer_wer"] = CUTS["char_multiset_excess"]
 
 
