@@ -334,7 +334,7 @@ def export_json(spark, d):
 
 def _fragment_cells(spark, d):
     o, n = F.col("l_orderkey"), F.col("i")
-    li = _items(spark, d).where("l_orderkey % 4 = 0").select(o.alias("group_id"), (n % 2).cast("int").alias("fragment"), n.alias("row_index"), F.col("l_partkey").cast("string").alias("a"), F.col("l_returnflag").alias("b"))
+    li = _items(spark, d).select(o.alias("group_id"), (n % 2).cast("int").alias("fragment"), n.alias("row_index"), F.col("l_partkey").cast("string").alias("a"), F.col("l_returnflag").alias("b"))
     head = li.select("group_id", "fragment").distinct().select("group_id", "fragment", F.lit(-1).alias("row_index"), F.lit("Part").alias("a"), F.lit("Mode|x").alias("b"))
     rows = li.withColumn("is_header", F.lit(False)).unionByName(head.withColumn("is_header", F.lit(True)))
     return rows.select("group_id", "fragment", "row_index", "is_header", F.posexplode(F.array("a", "b")).alias("column_index", "text"), F.lit(1).alias("column_span"), F.lit(1).alias("row_span"))

@@ -9,6 +9,7 @@ from .oracle import SF, assert_same
 CUTS = {"char_multiset_excess": [("left(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), 300)", "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')")]}
 CUTS["glyphs_to_lines"] = [("left(text, 200)", "text")]
 CUTS["table_grid"] = [("o_orderkey % 10 = 0 AND ", "")]
+CUTS["logical_tables"] = [(" WHERE l_orderkey % 4 = 0", "")]
 CUTS["cer_wer"] = CUTS["char_multiset_excess"]
 
 
