@@ -9,6 +9,7 @@ joined with the sketches; the few documents found are read again and their shing
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,18 +25,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
 
 
-def _runs(words: Column, make) -> Column:
-    """make(i) for the start of every run of SHINGLE words; one for a shorter text; none without a word."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
-    return F.when(F.size(words) > 0, F.transform(starts, make))
+def _runs(words: Column, make, short: Sequence[int] = ()) -> Column:
+    """make(n) of the start of every run of n words, n being SHINGLE and the lengths in ``short``; one for a text of
+    fewer words; none without a word."""
+    starts = lambda n: F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+    return F.when(F.size(words) > 0, F.concat(*[F.transform(starts(n), make(n)) for n in (SHINGLE, *short)]))
 
 
-def shingle_hashes(words: Column) -> Column:
-    return _runs(words, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+def shingle_hashes(words: Column, short: Sequence[int] = ()) -> Column:
+    return _runs(words, lambda n: lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]), short)
 
 
-def shingle_texts(words: Column) -> Column:
-    return _runs(words, lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
+def shingle_texts(words: Column, short: Sequence[int] = ()) -> Column:
+    return _runs(words, lambda n: lambda i: F.array_join(F.slice(words, i + 1, n), " "), short)
+
+
+def short_lengths(items: DataFrame) -> list[int]:
+    """The lengths below SHINGLE that occur among the items (column w): at most SHINGLE - 1 numbers."""
+    return sorted(r.n for r in items.select(F.size("w").alias("n")).where(F.col("n").between(1, SHINGLE - 1)).distinct().collect())
 
 
 def checked(df: DataFrame) -> DataFrame:
@@ -55,20 +62,22 @@ def item_sketches(items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, text_hash, item_id, n_shared, n_item, containment) of every document and item with at least PERCENT.
 
-    Words are compared in lower case. A text of fewer than SHINGLE words is one shingle; a null text or one without
+    Words are compared in lower case. An item of fewer than SHINGLE words is one shingle, which is looked for among
+    the runs of as many words of the documents; a null text or one without
     a word holds nothing and no item without a word is found. Rows are told apart by doc_id and text, so repeated
     rows count once and a null doc_id is an id of its own. Items that repeat an item_id pool their shingles. Empty
     tables give no rows; other columns of either table are left out.
     """
     keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _words(F.col(text)).alias("w"))
     asked = items.select("item_id", _words(F.col("text")).alias("w"))
-    hashed = keyed.select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("w"))).alias("h"))
+    short = short_lengths(asked)
+    hashed = keyed.select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("w"), short)).alias("h"))
     found = hashed.join(checked(item_sketches(asked)), "h").select("doc_id", "text_hash").distinct()
     few = checked(cut_lineage(found).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")))
     again = keyed.join(few, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")), "left_semi")
     exact = asked.select("item_id", F.explode(shingle_texts(F.col("w"))).alias("shingle")).distinct()
     sized = exact.withColumn("n_item", F.count("shingle").over(Window.partitionBy("item_id")))
-    shared = again.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("w"))).alias("shingle")).join(checked(sized), "shingle")
+    shared = again.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("w"), short)).alias("shingle")).join(checked(sized), "shingle")
     counted = shared.groupBy("doc_id", "text_hash", "item_id", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
     hit = counted.where(F.col("n_shared") * 100 >= F.col("n_item") * PERCENT)
     return hit.withColumn("containment", F.col("n_shared") / F.col("n_item")).select("doc_id", "text_hash", "item_id", "n_shared", "n_item", "containment")

@@ -333,6 +333,15 @@ def test_decontamination(spark, awkward):
     assert decontaminate.decontaminate(awkward, items).count() == awkward.count()
 
 
+def test_short_items_inside_long_documents(spark):
+    filler = " ".join(f"f{i}" for i in range(50))
+    df = spark.createDataFrame([(1, f"{filler} Who Was First {filler}"), (2, f"{filler} who was {filler} first"), (3, "who was first"), (4, f"{filler} only")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "who was first"), (11, "Only"), (12, None), (13, "who was it then")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contaminated(df, items).collect()}
+    assert got == {(1, 10, 1, 1), (3, 10, 1, 1), (4, 11, 1, 1)}
+    assert [r.doc_id for r in decontaminate.decontaminate(df, items).collect()] == [2]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     path = public_tokenizers.path("word_bpe_49k.json")
