@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 WS = r"[ \t\n\x0B\f\r]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,9 +124,23 @@ def fnv1a_id(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else one(t))
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance in words: each word becomes one private code point, then characters are compared."""
-    words = lambda t: F.filter(F.split(t, f"{WS}+"), lambda x: x != "")
-    vocabulary = F.array_distinct(F.concat(words(a), words(b)))
-    as_chars = lambda t: F.array_join(F.transform(words(t), lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(as_chars(a), as_chars(b))
+def _distance(a: list[str], b: list[str]) -> int:
+    """Levenshtein distance of two lists, a row of the table at a time."""
+    number: dict[str, int] = {}
+    x, y = ([number.setdefault(w, len(number)) for w in side] for side in (a, b))
+    target, places = np.array(y, np.int64), np.arange(len(y) + 1)
+    row = places.copy()
+    for i, w in enumerate(x):
+        best = np.empty_like(row)
+        best[0] = i + 1
+        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (target != w))
+        row = np.minimum.accumulate(best - places) + places  # a run of insertions from any place before
+    return int(row[-1])
+
+
+@F.pandas_udf(LongType())
+def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance in words (runs of anything but ASCII white space); null if a side is null."""
+    blank = re.compile(f"{WS}+")
+    words = lambda t: [w for w in blank.split(t) if w]
+    return pd.Series([None if p is None or q is None else _distance(words(p), words(q)) for p, q in zip(a, b)], dtype="Int64")

@@ -104,7 +104,7 @@ def escape_html(spark, d):
 
 @query(f"""SELECT doc_id, page_index, (row_number() OVER (PARTITION BY doc_id, page_index ORDER BY line_index) - 1)::INTEGER AS line_index, t AS text, x0 + 8 * skipped AS x0, y0,
     x0 + 8 * (skipped + length(regexp_replace(t, '[ \\t]+$', ''))) AS x1, y1
-  FROM (SELECT *, regexp_replace(left(text, 200), '^[ \\t]+', '') AS t, length(left(text, 200)) - length(regexp_replace(left(text, 200), '^[ \\t]+', '')) AS skipped FROM lines) WHERE t <> ''""")
+  FROM (SELECT *, regexp_replace(text, '^[ \\t]+', '') AS t, length(text) - length(regexp_replace(text, '^[ \\t]+', '')) AS skipped FROM lines) WHERE t <> ''""")
 def glyphs_to_lines(spark, d):
     return normalize.glyphs_to_lines(synthetic.tokens(_lines(spark, d)))
 
@@ -211,7 +211,7 @@ def table_cells(spark, d):
 
 
 @query("""SELECT o_orderkey AS table_id, r.i AS row_index, c.i AS column_index, CASE WHEN r.i = 0 AND c.i = 0 THEN 2 ELSE 1 END::BIGINT AS column_span, r.i = 0 AS is_header
-  FROM orders, range(1 + o_orderkey % 3) r(i), range(2 + o_orderkey % 2) c(i) WHERE o_orderkey % 10 = 0 AND NOT (r.i = 0 AND c.i = 1)""")
+  FROM orders, range(1 + o_orderkey % 3) r(i), range(2 + o_orderkey % 2) c(i) WHERE NOT (r.i = 0 AND c.i = 1)""")
 def table_grid(spark, d):
     t = read(spark, d, "orders").select(F.col("o_orderkey").alias("table_id"))
     at = lambda i: 20.0 * i
@@ -341,29 +341,39 @@ def _fragment_cells(spark, d):
 
 
 @query("""SELECT l_orderkey AS group_id, '| Part | Mode\\|x |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || l_returnflag || ' |' || chr(10), '' ORDER BY i % 2, i) AS rendered
-  FROM (""" + _ITEMS + """) WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey""")
+  FROM (""" + _ITEMS + """) GROUP BY l_orderkey""")
 def logical_tables(spark, d):
     return export.render_tables(export.logical_rows(_fragment_cells(spark, d)))
 
 
-_NORM = lambda c: TRIM.format(f"regexp_replace(lower({c}), '{WS}+', ' ', 'g')")
-
-
 def _pairs(spark, d):
-    a = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("text"))
+    a = read(spark, d, "conversations").select("conv_id", "turn", "text")
     return a.select("conv_id", "turn", F.col("text").alias("reference")).join(a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction")), ["conv_id", "turn"], "left")
 
 
-_PAIRS = """SELECT conv_id, turn, reference, lead(reference) OVER (PARTITION BY conv_id ORDER BY turn) AS prediction FROM (SELECT conv_id, turn, left(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), 300) AS reference FROM conversations)"""
+_PAIRS = """SELECT conv_id, turn, text AS reference, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prediction FROM conversations"""
+#: DuckDB's levenshtein counts bytes: each letter beyond ASCII becomes a control character that no text holds.
+_ODD = "(SELECT coalesce(string_agg(c, '' ORDER BY c), '') FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations) WHERE ascii(c) > 127)"
+_CONTROLS = " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 32), 127])
+_BYTES = lambda c: f"translate({c}, {_ODD}, {_CONTROLS})"
+_NORM = lambda c: TRIM.format(f"regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WS}+', ' ', 'g')")
 
 
 @query(f"""SELECT conv_id, turn, chars, char_errors, words, CASE WHEN chars > 0 THEN char_errors / chars WHEN char_errors > 0 THEN 1.0 ELSE 0.0 END AS cer FROM (
-  SELECT conv_id, turn, length({_NORM('reference')}) AS chars, levenshtein({_NORM('reference')}, {_NORM("coalesce(prediction, '')")}) AS char_errors, len(regexp_extract_all({_NORM('reference')}, '[^ ]+')) AS words FROM ({_PAIRS}))""")
+  SELECT conv_id, turn, length(r) AS chars, levenshtein({_BYTES('r')}, {_BYTES('p')}) AS char_errors, len(regexp_extract_all(r, '[^ ]+')) AS words
+  FROM (SELECT conv_id, turn, {_NORM('reference')} AS r, {_NORM("coalesce(prediction, '')")} AS p FROM ({_PAIRS})))""")
 def cer_wer(spark, d):
     rates = evaluate.error_rates(_pairs(spark, d).withColumn("key", F.struct("conv_id", "turn")), "key")
     return rates.select("key.conv_id", "key.turn", F.col("chars").cast("long").alias("chars"), F.col("char_errors").cast("long").alias("char_errors"), F.col("words").cast("long").alias("words"), "cer")
 
 
+@query()
+def word_errors(spark, d):
+    """Edit distance in words, held against a plain one in the tests: SQL has no distance of lists."""
+    rates = evaluate.error_rates(_pairs(spark, d).withColumn("key", F.struct("conv_id", "turn")), "key")
+    return rates.select("key.conv_id", "key.turn", "words", "word_errors", "wer")
+
+
 @query(f"""SELECT conv_id, turn, coalesce(sum(greatest(np - nr, 0)), 0)::BIGINT AS excess FROM (
   SELECT conv_id, turn, ch, sum(p) AS np, sum(1 - p) AS nr FROM (
     SELECT conv_id, turn, unnest(string_split(reference, '')) AS ch, 0 AS p FROM ({_PAIRS}) UNION ALL SELECT conv_id, turn, unnest(string_split(prediction, '')), 1 FROM ({_PAIRS})) WHERE ch <> '' GROUP BY ALL) GROUP BY ALL""")
