@@ -3,11 +3,6 @@
 from __future__ import annotations
 
 from . import bpe, chat, decontaminate, langid, lines, mixing, rulefit, shards, simhash, warc
-from ._common import table
-
-
-def op6_simhash(spark, sf_dir: str):
-    return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
@@ -16,7 +11,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_chat_format": chat.op4_chat_format,
     "op5_token_counts": bpe.op5_token_counts,
-    "op6_simhash": op6_simhash,
+    "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": rulefit.op7_quality_rules,
     "op8_language_id": langid.op8_language_id,
     "op9_warc": warc.op9_warc,

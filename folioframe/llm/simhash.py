@@ -14,25 +14,46 @@ Up to three differing bits fall on three segments in one of three ways, and each
 * all three differ in one bit: Golay indices of all three with the three parities flipped. One side gives the
   neighbourhood of the first segment, the other those of the second and third (about 28 stored, 5 probed).
 
-So every pair within three bits shares a key; a join on keys finds it and ``bit_count(a ^ b) <= 3`` verifies
-it. Equal fingerprints are merged before any key is made; links become components by distributed hooking.
+So every pair within three bits shares a key; a join on keys finds it and ``bit_count(a ^ b) <= 3`` verifies it.
+
+Near copies with other words in places lie farther apart than three bits of a fingerprint of shingles. ``NEAR_COPIES``
+looks for them by a fingerprint of single words, weighted by length and by the root of their number, within six bits,
+and verifies them by a fingerprint of five-word shingles within 14 bits: a Jaccard similarity of 0.8 is a cosine of
+0.89, so 64 bits differ in 9.7 on average. Its keys come from four segments of 16 bits. With errors e1 <= e2 <= e3 <= e4
+of six in all, either e1 = 0 and e2 <= 1, or e1 = 0 and the rest are 2 each, or e1 = e2 = 1:
+
+* one segment is equal, another differs in at most 1 bit: the equal one's value with the Golay index of the other
+  (12 keys stored, a neighbourhood of each probed);
+* one segment is equal, all others differ in 2 bits: the equal one's value with the indices of the neighbourhood of the
+  next segment, on both sides;
+* two segments differ in one bit each: the index of one with the neighbourhood of the other on one side, the other way
+  round on the other side.
+
+Equal fingerprints are merged before any key is made. Nodes are first tied to the smallest node that has some of the
+same segments, if it is near; what hangs together by these ties needs no further links, so the join on keys gives out
+only pairs of different labels and a tight cluster costs no pair for each two of its members. Links become components
+by distributed hooking.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage, without
+from ._common import cut_lineage, table, without
 from ._words import blocks, shingles, words_of, xxh64
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
+NEAR_SHINGLE = 5
+WORD_BYTES = 16  # a longer word weighs no more
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the Golay code
 SEGMENTS = ((41, 23), (18, 23), (0, 18))  # (shift, width), high to low
 
@@ -107,18 +128,54 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and ``fp`` (long, the 64 bits as a signed number) of each row. A null text has no word."""
+def _weighted(hashes: np.ndarray, weights: np.ndarray) -> int:
+    """The 64 bits that hashes of more than half the weight have set; weights are whole numbers, so sums are exact."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[k : k + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        ones += weights[k : k + (1 << 14)] @ bits.astype(np.int64)
+    return int.from_bytes(np.packbits(2 * ones > weights.sum()).tobytes(), "big")
+
+
+def profiles_of(texts: list[str | None]) -> tuple[list[int], list[int]]:
+    """Of each text with A-Z in lower case, the SimHash of its words and that of its five-word shingles, repeats counted.
+
+    A word weighs 16 * sqrt(its number) * its bytes (WORD_BYTES at most), rounded down."""
+    fp, five = [], []
+    for _, block in blocks([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
+        w = words_of([t.lower() for t in block])
+        hashes = xxh64(w.buf, w.start, w.end, SEED)
+        size = np.minimum(w.end - w.start, WORD_BYTES)
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+            own, at, count = np.unique(hashes[a:b], return_index=True, return_counts=True)
+            fp.append(_signed(_weighted(own, np.floor(16 * np.sqrt(count) * size[a:b][at]).astype(np.int64))))
+        start, end, before = shingles(w, NEAR_SHINGLE)
+        long = xxh64(w.buf, start, end, SEED)
+        five += [_signed(_majority(long[a:b])) for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
+    return fp, five
+
+
+def _mapped(docs: DataFrame, of: Callable[[list], tuple[list[int], ...]], columns: tuple[str, ...], text: str, keep: tuple[str, ...]) -> DataFrame:
     keep_names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = pa.array(fingerprints_of(batch.column("__text").to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep_names] + [fp], [*keep_names, "fp"])
+            made = [pa.array(x, pa.int64()) for x in of(batch.column("__text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep_names] + made, [*keep_names, *columns])
 
     src = docs.select(*keep_names, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep_names)
-    return src.mapInArrow(run, f"{schema}, fp long")
+    return src.mapInArrow(run, ", ".join([schema, *(f"{c} long" for c in columns)]))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and ``fp`` (long, the 64 bits as a signed number) of each row. A null text has no word."""
+    return _mapped(docs, lambda texts: (fingerprints_of(texts),), ("fp",), text, keep)
+
+
+def profiles(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, ``fp`` (of words) and ``five`` (of five-word shingles) of each row. A null text has no word."""
+    return _mapped(docs, profiles_of, ("fp", "five"), text, keep)
 
 
 def _distinct(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,25 +228,100 @@ def join_keys(fp: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([k for k, _ in out]), np.concatenate([r for _, r in out])
 
 
-def _keyed(distinct: DataFrame, probe: bool) -> DataFrame:
+def near_keys(fp: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """As join_keys, for fingerprints at most 6 bits apart, from four segments of 16 bits."""
+    u, n = fp.view(np.uint64), len(fp)
+    seg = [((u >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.uint32) for s in (48, 32, 16, 0)]
+    wide = [s.astype(np.int64) for s in seg]
+    index = [golay_index(s).astype(np.int64) for s in seg]
+    near = [_distinct(np.column_stack([fuzzy_indices(s, 16), i])) for s, i in zip(seg, index)]  # the word's own as well
+    own, out, kind = np.arange(n, dtype=np.int64), [], 0
+
+    def put(key: np.ndarray, row: np.ndarray) -> None:
+        nonlocal kind
+        out.append((key | np.int64(kind << 48), row))
+        kind += 1
+
+    for a in range(4):  # a equal, b at most one bit off
+        for b in range(4):
+            if b == (a + 1) % 4:  # both neighbourhoods: at most two bits off
+                put(wide[a][near[b][0]] << 12 | near[b][1], near[b][0])
+            elif b != a and probe:
+                put(wide[a][near[b][0]] << 12 | near[b][1], near[b][0])
+            elif b != a:
+                put(wide[a] << 12 | index[b], own)
+    for a in range(4):  # a and b one bit off each
+        for b in range(a + 1, 4):
+            x, y = (a, b) if probe else (b, a)
+            row, idx = near[x]
+            put((idx << 12 | index[y][row]) if probe else (index[y][row] << 12 | idx), row)
+    return np.concatenate([k for k, _ in out]), np.concatenate([r for _, r in out])
+
+
+def _pair_masks(widths: tuple[tuple[int, int], ...]) -> tuple[int, ...]:
+    """For each two segments (shift, width) the bits of both, as signed numbers."""
+    ones = [((1 << w) - 1) << s for s, w in widths]
+    return tuple(_signed(x | y) for i, x in enumerate(ones) for y in ones[i + 1 :])
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Which nodes are near: each of ``columns`` differs in at most so many ``bits``. ``keys`` gives the stored and the
+    probed keys of the first column, ``masks`` the parts of it by which nodes are tied to a first one."""
+
+    columns: tuple[str, ...]
+    bits: tuple[int, ...]
+    keys: Callable[[np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
+    masks: tuple[int, ...]
+
+    def node(self, prefix: str = "") -> Column:
+        made = [F.col(prefix + c) for c in self.columns]
+        return made[0] if len(made) == 1 else F.struct(*[m.alias(c) for m, c in zip(made, self.columns)])
+
+    def near(self, a: str, b: str) -> Column:
+        return reduce(Column.__and__, [F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) <= n for c, n in zip(self.columns, self.bits)])
+
+    def named(self, prefix: str) -> list[Column]:
+        return [F.col(c).alias(prefix + c) for c in self.columns]
+
+
+THREE_BITS = Scheme(("fp",), (MAX_BITS,), join_keys, _pair_masks(SEGMENTS))
+NEAR_COPIES = Scheme(("fp", "five"), (6, 14), near_keys, _pair_masks(((48, 16), (32, 16), (16, 16), (0, 16))))
+
+
+def _keyed(nodes: DataFrame, probe: bool, scheme: Scheme) -> DataFrame:
+    keys = scheme.keys
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            for at in range(0, len(fp), 4096):
-                part = fp[at : at + 4096]
-                key, row = join_keys(part, probe)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                key, row = keys(part.column("fp").to_numpy(zero_copy_only=False), probe)
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *taken.columns], ["key", *taken.schema.names])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+    return nodes.mapInArrow(run, f"key long, {fields}")
 
-    return distinct.select("fp").mapInArrow(run, "key long, fp long")
 
+def ties(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): each node b with the smallest node a that has two of its segments, if the two are near."""
+    parts = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(scheme.masks)])
+    keyed = nodes.select(F.explode(parts).alias("key"), *scheme.named("b_"))
+    first = keyed.groupBy("key").agg(F.min(scheme.node("b_")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("key", "a", *[(F.col("a") if len(scheme.columns) == 1 else F.col(f"a.{c}")).alias(f"a_{c}") for c in scheme.columns])
+    return keyed.join(first, "key").withColumn("b", scheme.node("b_")).where(scheme.near("a_", "b_") & (F.col("a") != F.col("b"))).select("a", "b").distinct()
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints in column fp that differ in at most 3 bits, each once."""
-    stored = _keyed(distinct, False).withColumnRenamed("fp", "b")
-    probed = _keyed(distinct, True).withColumnRenamed("fp", "a")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    joined = probed.join(stored, (probed["key"] == stored["key"]) & near)
-    return joined.select("a", "b").distinct()
+
+def links(nodes: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
+    """Pairs a < b of the distinct nodes that are near, each once; with a column ``label``, only pairs of nodes whose
+    labels differ (null: a label of its own), and their labels la and lb."""
+    extra = [c for c in ("label",) if c in nodes.columns]
+    side = lambda p, probe: _keyed(nodes.select(*scheme.columns, *extra), probe, scheme).select(F.col("key").alias(p + "key"), *scheme.named(p), *[F.col(c).alias("l" + p[0]) for c in extra])
+    probed, stored = side("a_", True), side("b_", False)
+    apart = F.coalesce(F.col("la") != F.col("lb"), F.lit(True)) if extra else F.lit(True)
+    joined = probed.join(stored, (F.col("a_key") == F.col("b_key")) & (scheme.node("a_") < scheme.node("b_")) & scheme.near("a_", "b_") & apart)
+    return joined.select(scheme.node("a_").alias("a"), scheme.node("b_").alias("b"), *(["la", "lb"] if extra else [])).distinct()
 
 
 def hook(edges: DataFrame) -> DataFrame:
@@ -215,19 +347,24 @@ def hook(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components(fps: DataFrame, by: str) -> DataFrame:
-    """``fps`` (with columns fp and ``by``) plus ``component``: the smallest ``by`` reachable over links, itself included.
+def components(fps: DataFrame, by: str, scheme: Scheme = THREE_BITS) -> DataFrame:
+    """``fps`` (with the scheme's columns and ``by``) plus ``component``: the smallest ``by`` reachable over links, itself
+    included. No link between different nodes is left out: those that are not made join nodes of one label already.
 
-    fps is read several times, so it should be a written table (see ``cut_lineage``).
+    fps is read several times, so it should be a written table (see ``cut_lineage``). Runs jobs when called.
     """
-    distinct = fps.groupBy("fp").agg(F.min(by).alias("least_id"))
-    edges = cut_lineage(links(distinct))
-    smallest = distinct
+    names = list(scheme.columns)
+    nodes = fps.groupBy(*names).agg(F.min(by).alias("least_id")).withColumn("node", scheme.node())
+    tied = cut_lineage(ties(nodes.select(*names), scheme))
+    labelled = nodes.join(hook(tied), "node", "left") if not tied.isEmpty() else nodes.withColumn("label", F.lit(None).cast(nodes.schema["node"].dataType))
+    labelled = cut_lineage(labelled)
+    edges = cut_lineage(links(labelled, scheme).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
+    whole = labelled.withColumn("label", F.coalesce("label", "node"))
     if not edges.isEmpty():
-        labelled = distinct.join(hook(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        least = labelled.groupBy("label").agg(F.min("least_id").alias("least_id"))
-        smallest = labelled.select("fp", "label").join(least, "label").select("fp", "least_id")
-    return fps.join(smallest, "fp").withColumnRenamed("least_id", "component")
+        top = hook(edges).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        whole = whole.join(top, "label", "left").withColumn("label", F.coalesce("top", "label"))
+    least = whole.groupBy("label").agg(F.min("least_id").alias("component"))
+    return fps.join(whole.select(*names, "label").join(least, "label").select(*names, "component"), names)
 
 
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -244,15 +381,23 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component with all its columns: that of the smallest doc_id (nulls last), then of the smallest
-    text hash. Exact repeats of that row are dropped as well."""
-    work = ["__id", "__th", "__n"]
+    """One row of each group of near copies (``NEAR_COPIES``) with all its columns: that of the smallest doc_id (nulls
+    last), then of the smallest text hash. Exact repeats of that row are dropped as well.
+
+    Null and blank texts are copies of each other. An empty table gives no rows; input columns named like the work
+    columns (__id, __th) are lost. Runs jobs when called.
+    """
+    work = ["__id", "__th"]
     src = without(docs, work)
     ident = [F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__th")]
-    fps = cut_lineage(fingerprints(src.select(*ident, F.col(text).alias("text")), keep=("__id", "__th")))
-    ranked = fps.select("fp", F.struct(F.col("__id").isNull().alias("none"), "__id", "__th").alias("rep"))
-    stay = components(ranked, "rep").select("component").distinct().select("component.__id", "component.__th")
+    fps = cut_lineage(profiles(src.select(*ident, F.col(text).alias("text")), keep=("__id", "__th")))
+    ranked = fps.select("fp", "five", F.struct(F.col("__id").isNull().alias("none"), "__id", "__th").alias("rep"))
+    stay = components(ranked, "rep", NEAR_COPIES).select("component").distinct().select("component.__id", "component.__th")
     marked = src.withColumns({"__id": F.col(doc_id), "__th": F.xxhash64(text)})
     found = marked.join(stay, marked["__id"].eqNullSafe(stay["__id"]) & (marked["__th"] == stay["__th"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
-    return found.withColumn("__n", first).where("__n = 1").drop(*work)
+    return found.dropDuplicates(["__id", "__th"]).drop(*work)
+
+
+def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """simhash_components over all documents: its rules for null, blank and repeated rows and empty tables hold."""
+    return simhash_components(table(spark, sf_dir, "documents"))

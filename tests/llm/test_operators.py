@@ -74,6 +74,17 @@ def test_every_close_pair_shares_a_key():
             assert set(pk[pr == x].tolist()) & set(sk[sr == y].tolist())
 
 
+def test_every_pair_of_six_bits_shares_a_near_key():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 4, 5, 6, 6, 6, 6) * 100:
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), n))
+        pair = np.array([simhash._signed(a), simhash._signed(b)], np.int64)
+        (sk, sr), (pk, pr) = simhash.near_keys(pair, False), simhash.near_keys(pair, True)
+        for x, y in ((0, 1), (1, 0)):
+            assert set(pk[pr == x].tolist()) & set(sk[sr == y].tolist())
+
+
 def brute_components(rows):
     fps = {i: int(f, 16) for i, f in rows}
     parent = {i: i for i in fps}
@@ -98,8 +109,75 @@ def test_simhash_components(spark, docs):
     assert all(r.fingerprint == f"{slow_fingerprint(texts[r.doc_id]):016x}" for r in got)
     want = brute_components([(r.doc_id, r.fingerprint) for r in got])
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def slow_profile(text):
+    """The weighted SimHash of the words and the SimHash of five-word shingles, bit by bit."""
+    w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in (text or "").encode().split()]
+    if not w:
+        return 0, 0
+    weight = {x: int(16 * n**0.5 * min(len(x), 16)) for x, n in Counter(w).items()}
+    h = {x: xxhash.xxh64_intdigest(x, 42) for x in weight}
+    fp = sum(1 << b for b in range(64) if 2 * sum(weight[x] for x in weight if h[x] >> b & 1) > sum(weight.values()))
+    five = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))]
+    return fp, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in five) > len(five))
+
+
+def brute_near(texts):
+    """The ids that stay of {id: text}: the smallest of each group of near copies, every pair compared."""
+    fps, parent = {i: slow_profile(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(fps)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if (fps[i][0] ^ fps[j][0]).bit_count() <= 6 and (fps[i][1] ^ fps[j][1]).bit_count() <= 14:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in ids})
+
+
+def test_near_copies_stay_once(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    assert list(zip(*simhash.profiles_of([texts[i] for i in ids]))) == [tuple(map(simhash._signed, slow_profile(texts[i]))) for i in ids]
     kept = simhash.simhash_dedup(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == brute_near(texts) and kept.columns == docs.columns
+
+
+def test_near_copies_of_planted_texts(spark):
+    """Copies with a word in twenty-five changed or a passage moved go; others stay, in a cluster too tight for pairs."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    vocabulary = [word() for _ in range(3000)]
+    rows, heads = [], []
+    for group in range(30):
+        base = rng.choices(vocabulary, k=200)
+        heads.append(len(rows))
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(8):
+            copy = list(base)
+            for at in rng.sample(range(200), 4):
+                copy[at] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy).upper()))
+    got = [r.doc_id for r in simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == brute_near(dict(rows)) and set(heads) <= set(got) and len(got) <= 30 + 0.1 * 240
+
+
+def test_ties_stand_for_links(spark):
+    """A chain of tight clusters: the same components as by all pairs, though few pairs are given out."""
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        fps |= {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(40)}
+    rows = [(i, simhash._signed(f)) for i, f in enumerate(sorted(fps))]
+    got = {r.id: r.component for r in simhash.components(spark.createDataFrame(rows, "id long, fp long"), "id").collect()}
+    assert got == brute_components([(i, f"{f & (2**64 - 1):x}") for i, f in rows])
 
 
 def test_hooking_follows_a_long_chain(spark):
