@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests in local mode) one is made and set.
+    Only where the session names none and runs in local mode, as in tests, one is made and set; a cluster without the
+    setting raises, since a machine's own folder would be lost with it.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="folioframe-")
     sc.setCheckpointDir(made)
     return made
@@ -48,9 +51,28 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded(column: Column, seed: int) -> Column:
-    """Hex digits whose order is a shuffle of the column's values fixed by the seed (null: as the text 'null')."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit("null"))))
+def seeded(seed: int, *columns: Column) -> Column:
+    """Hex digits whose order is a shuffle of the columns' values fixed by the seed (null: as the text 'null')."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns]))
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str] | None = None) -> DataFrame:
+    """df with ``__row``, its place in the order (from 1), and for each name in ``sums`` the column's sum over all rows
+    before it. The rows are sorted in ranges and written; only one row a range is summed in a single task.
+
+    The order must be total up to rows that are interchangeable. Runs jobs when called."""
+    sums = sums or {}
+    placed = cut_lineage(df.orderBy(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__o_{n}") for n, c in sums.items()])
+    ahead = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = own.select("__part", ahead("__n").alias("__o"), *[ahead(f"__o_{n}").alias(f"__o_{n}") for n in sums])
+    inside = Window.partitionBy("__part").orderBy(*order)
+    # One row a range of the sort, of which there are as many as shuffle partitions.
+    out = placed.join(F.broadcast(offsets), "__part").withColumn("__row", F.col("__o") + F.row_number().over(inside))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({n: F.col(f"__o_{n}") + F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()}) if sums else out
+    return out.drop("__part", "__o", *[f"__o_{n}" for n in sums])
 
 
 def null_last_key(column: Column) -> Column:

@@ -26,13 +26,13 @@ def bucket(hexed: Column) -> Column:
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, source: str = "source", doc_id: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard); shards differ by one row at most.
 
-    A null source is a source of its own, after all others. Rows of equal doc_id come in the order of ``ties``; rows
-    that are equal in these too are interchangeable. An empty table gives no rows. Input columns named shard or slot
+    A null source is a source of its own, after all others. doc_id and ``ties`` fix the shuffle, so rows of one doc_id
+    (or of none) are spread by the rest; rows that are equal in all of these are interchangeable. An empty table gives no rows. Input columns named shard or slot
     are replaced, and so are names that start with two underscores and are used here.
     """
     work = ["__k", "__h", "__b", "__n", "__before", "__all", "__rank", "__cut", "__total"]
     base = without(docs, [*work, "shard", "slot"])
-    base = base.withColumns({"__k": null_last_key(F.col(source)), "__h": seeded(F.col(doc_id), seed)}).withColumn("__b", bucket(F.col("__h")))
+    base = base.withColumns({"__k": null_last_key(F.col(source)), "__h": seeded(seed, F.col(doc_id), *map(F.col, ties))}).withColumn("__b", bucket(F.col("__h")))
     per = Window.partitionBy("__k")
     ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = base.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("__n")).withColumns({"__before": ahead(per.orderBy("__b")), "__all": F.sum("__n").over(per)}).drop("__n")
@@ -55,6 +55,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def op2_interleaved_shards(spark, sf_dir: str) -> DataFrame:
+    """Law ``rows`` over all documents; equal texts are not kept together. Null texts have size 1; empty table: no rows."""
     placed = interleave(sized(table(spark, sf_dir, "documents")), ties=("text_crc32", "size"))
     return placed.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

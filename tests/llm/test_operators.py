@@ -1,6 +1,7 @@
 """The ten operators against SQL, brute force, exact round trips and held-out labels, and on awkward tables."""
 
 import gzip
+import hashlib
 import random
 import struct
 import zlib
@@ -263,11 +264,9 @@ def crc(text):
 
 
 def test_interleaving_brute_force(spark, docs):
-    import hashlib
-
     rows = [(r.doc_id, r.source, len((r.text or "").encode()) + 1, crc(r.text)) for r in docs.collect()]
     per, pos = {}, []
-    key = lambda r: (hashlib.md5(f"{shards.SEED}:{r[0]}".encode()).hexdigest(), r[0], r[3], r[2])
+    key = lambda r: (hashlib.md5(f"{shards.SEED}:{r[0]}:{r[3]}:{r[2]}".encode()).hexdigest(), r[0], r[3], r[2])
     for r in sorted(rows, key=key):
         per.setdefault(r[1], []).append(r)
     for s, rs in per.items():
@@ -290,45 +289,134 @@ def test_shards_follow_the_mixture_on_awkward_rows(awkward):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
 
 
-def test_mix_meets_targets(spark, docs):
-    got = queries.QUERIES["op3_mixing"](spark, SF).toPandas()
-    by = got.groupby("source").agg(t=("target", "first"), k=("taken", "sum"))
-    assert (abs(by.k - by.t) <= 0.02 * by.t + 50).all() and (got.taken <= 3 * got["size"]).all()
-    mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns and mixed.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] == got.taken.sum()
-    quotas = mixing.shard_quotas(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("__size"))).toPandas()
-    per_shard = quotas.groupby("shard").quota.sum()
-    assert per_shard.max() - per_shard.min() <= 1
+def plain_mix(rows, key, blocks=mixing.BLOCKS, n_shards=mixing.SHARDS):
+    """taken, shards' words and whole copies of each of rows (source, size), by plain loops. key(i): what is shuffled."""
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    names = sorted({("1" if s is None else "0" + s) for s, _ in rows})
+    size = {k: sum(n for s, n in rows if ("1" if s is None else "0" + s) == k) for k in names}
+    weight = {k: 1 + i % 3 for i, k in enumerate(names)}
+    total, target, full = sum(size.values()), {}, set()
+    while True:  # sources above their caps stop there, one round after another
+        rest, still = total - sum(3 * size[k] for k in full), sum(weight[k] for k in names if k not in full)
+        target = {k: 3.0 * size[k] if k in full else rest * weight[k] / still for k in names}
+        over = {k for k in names if target[k] > 3 * size[k]}
+        if not over:
+            break
+        full |= over
+    block = max(-(-total // blocks), 1)
+    words = {k: int(target[k] + 0.5) for k in names if block > 1 and target[k] < 200 * block}
+    seats, n = {k: [] for k in names}, (total - sum(words.values())) // block
+    for r in range(n):  # the highest quotient next
+        k = min((k for k in names if k not in words and len(seats[k]) < 3 * size[k] // block), key=lambda k: (-target[k] / (2 * len(seats[k]) + 1), k), default=None)
+        if k is not None:
+            seats[k].append(r * n_shards // n)
+    out = {}
+    for k in names:
+        own = sorted((i for i, (s, _) in enumerate(rows) if ("1" if s is None else "0" + s) == k), key=key)
+        shard_of = {}  # place in the repeated stream -> shard, by word
+        if k in words:
+            turn = int(md5(k)[:4], 16)
+            for i in range(n_shards):
+                for x in range(words[k] * i // n_shards, words[k] * (i + 1) // n_shards):
+                    shard_of[x] = (i + turn) % n_shards
+            rounds = words[k] // size[k] if size[k] else 0
+        elif seats[k]:
+            rounds = len(seats[k]) * block // size[k]
+            whole = -(-rounds * size[k] // block)
+            open_ = range(whole, min(-(-(rounds + 1) * size[k] // block), 3 * size[k] // block))
+            chosen = [*range(whole), *sorted(open_, key=lambda j: md5(mixing.SEED, k, j))[: len(seats[k]) - whole]]
+            for j, shard in zip(sorted(chosen, key=lambda j: md5(mixing.SEED + 1, k, j)), seats[k]):
+                for x in range(j * block, (j + 1) * block):
+                    shard_of[x] = shard
+        at = 0
+        for i in own:
+            got = Counter(shard_of[x] for r in range(3) for x in range(r * size[k] + at, r * size[k] + at + rows[i][1]) if x in shard_of)
+            spot = at + (rows[i][1] // 2 if k in words else 0)
+            copies = sum(r * size[k] + spot in shard_of for r in range(3)) if rows[i][1] else 0
+            out[i] = (sum(got.values()), sorted(got.items()), copies, target[k], size[k])
+            at += rows[i][1]
+    return out
+
+
+def seeded_key(ids, *rest):
+    return lambda i: (hashlib.md5(":".join(["30", *["null" if x[i] is None else str(x[i]) for x in (ids, *rest)]]).encode()).hexdigest(),)
+
+
+def test_mix_against_plain_loops(spark, docs):
+    rows = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n")).collect()
+    want = plain_mix([(r.source, r.n) for r in rows], seeded_key([r.doc_id for r in rows], [r.n for r in rows]))
+    want = {r.doc_id: want[i] for i, r in enumerate(rows)}
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("__size"))
+    got = mixing.mix(sized, ties=("__size",)).collect()
+    assert {r.doc_id: (r.taken, [tuple(p) for p in r.shards]) for r in got} == {i: w[:2] for i, w in want.items()}
+    assert all(abs(r.target - want[r.doc_id][3]) < 1e-6 and r.source_size == want[r.doc_id][4] for r in got)
+
+
+def quotas_of(df, **options):
+    return {(r.shard, r.source): r.quota * r.block for r in mixing.shard_quotas(df, **options).collect()}
+
+
+def test_shards_take_their_quotas_exactly(spark, docs):
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("__size"))
+    taken = Counter()
+    rows = mixing.mix(sized).collect()
+    for r in rows:
+        for p in r.shards:
+            taken[p.shard, r.source] += p.words
+    assert taken == quotas_of(sized)
+    per_shard = Counter()
+    for (shard, _), n in taken.items():
+        per_shard[shard] += n
+    assert max(per_shard.values()) - min(per_shard.values()) <= 0.01 * sum(per_shard.values()) / 16
+    assert {s for s, _ in quotas_of(sized, shards=4)} == set(range(4))
 
 
 def test_targets_stop_at_three_times_the_source(spark):
     sizes = spark.createDataFrame([("0a", 10), ("0b", 1000), ("0c", 20), ("1", 30)], "__k string, source_size long")
-    got = {r["__k"]: r.target for r in mixing.source_targets(sizes).collect()}
-    assert got == {"0a": 30.0, "0b": 910.0, "0c": 60.0, "1": 60.0} or abs(sum(got.values()) - 1060) < 1e-6
-    assert all(got[k] <= 3 * n + 1e-9 for k, n in (("0a", 10), ("0b", 1000), ("0c", 20), ("1", 30)))
+    targets, total = mixing.source_targets(sizes)
+    # 1060 words at weights 1, 2, 3, 1: all but b are full at 30, 60 and 90, and b takes the rest.
+    assert total == 1060 and {r["__k"]: r.target for r in targets.collect()} == {"0a": 30.0, "0b": 880.0, "0c": 60.0, "1": 90.0}
 
 
 def test_mix_on_awkward_rows(awkward):
-    got = mixing.mix(awkward.withColumn("__size", mixing.n_words(F.col("text")))).collect()
-    assert len(got) == awkward.count() and all(0 <= r.taken <= 3 * r["__size"] for r in got)
+    rows = awkward.withColumn("__size", mixing.n_words(F.col("text")))
+    got = mixing.mix(rows, ties=("__size",)).collect()
+    mine = rows.select("doc_id", "source", "__size").collect()
+    want = plain_mix([(r.source, r["__size"]) for r in mine], seeded_key([r.doc_id for r in mine], [r["__size"] for r in mine]))
+    assert sorted((str(r.doc_id), str(r.source), r.size, r.taken) for r in got) == sorted((str(m.doc_id), str(m.source), m["__size"], want[i][0]) for i, m in enumerate(mine))
+    whole = mixing.mixed_documents(awkward)
+    assert whole.columns == awkward.columns and {r.doc_id for r in whole.collect()} <= {r.doc_id for r in mine if r["__size"]}
 
 
 def test_mix_settles_small_sources(spark):
-    big = [(i, f"big{i % 4}", 1_000_000) for i in range(80)]
-    small = [(100, "tiny", 300), (101, "tiny", 400), (102, "less", 60_000), (103, None, 1)]
+    big = [(i, f"big{i % 4}", 1_000_000) for i in range(100)]
+    small = [(100, "tiny", 100), (102, "less", 60_000), (103, None, 1), (104, "none", 0)]
     df = spark.createDataFrame(big + small, "doc_id long, source string, __size long")
     got = mixing.mix(df).toPandas()
     by = got.groupby("source", dropna=False).agg(size=("source_size", "first"), t=("target", "first"), k=("taken", "sum"))
-    assert by.t["tiny"] == 2100 and by.k["tiny"] == 2100 and by.k["less"] == 180_000 and got.taken[got.source.isna()].sum() == 3
-    assert (abs(by.k - by.t) <= 0.01 * by.t).all() and (got.taken <= 3 * got["__size"]).all()
-    quotas = mixing.shard_quotas(df).toPandas()
-    words = (quotas.quota * quotas.block).groupby(quotas.source).sum()
-    assert all(words[s] == by.k[s] for s in ("big0", "big1", "big2", "big3", "tiny", "less"))
+    assert by.t["tiny"] == 300 and by.k["tiny"] == 300 and by.k["less"] == 180_000 and got.taken[got.source.isna()].sum() == 3 and by.k["none"] == 0
+    assert (abs(by.k - by.t) <= 0.01 * by.t).all() and (got.taken <= 3 * got["size"]).all()
+    quotas, taken = quotas_of(df), Counter()
+    for r in got.itertuples():
+        for p in r.shards:
+            taken[p["shard"], None if r.source is None or r.source != r.source else r.source] += p["words"]
+    assert taken == quotas
     equal = spark.range(1000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"), F.lit(50).cast("long").alias("__size"))
     sums = mixing.mix(equal, blocks=320).agg(F.sum("taken"), F.sum("target"), F.max(F.abs(F.col("taken") - F.col("target")))).first()
     assert sums[2] <= 0.5 and abs(sums[0] - sums[1]) <= 0.01 * sums[1]
 
 
+def test_running_totals(spark):
+    from folioframe.llm._common import running
+
+    rows = [(f"{i * 7919 % 1000:04d}", i) for i in range(1000)]
+    got = running(spark.createDataFrame(rows, "k string, n long").repartition(5), ["k"], {"before": "n"}).collect()
+    at, want = 0, {}
+    for row, (k, n) in enumerate(sorted(rows), 1):
+        want[k], at = (row, at), at + n
+    assert {r.k: (r["__row"], r.before) for r in got} == want
+
+
 # --- chat, WARC, benchmark
 
 
