@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+MAX_BROADCAST, MAX_BYTES = 500_000, 64 << 20  # a table of more rows or bytes is joined by a shuffle
+
+
+def checked(df: DataFrame, rows: int = MAX_BROADCAST, size: int = MAX_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows and bytes, which are counted, are within the limits; else as it is."""
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) + 16 if f.dataType.simpleString() == "string" else F.lit(16) for f in df.schema]
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(reduce(Column.__add__, wide))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column's text, modulo n (null stays null)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ._common import table
 
 LIMIT = 2048
-MEMO = 400_000  # white-space separated strings whose counts a Python worker remembers; more only cost time
+MEMO = 400_000  # strings whose counts a Python worker remembers; more only cost time
+MEMO_LENGTH = 64  # longer strings are counted anew each time
 
 
 def byte_alphabet() -> list[str]:
@@ -83,9 +84,10 @@ class Counter(dict):
     def __missing__(self, chunk: str) -> int:
         parts = self.special.split(chunk) if self.special else [chunk]
         total = len(parts) - 1 + sum(map(self._plain, parts))
-        if len(self) >= MEMO:
-            self.clear()
-        self[chunk] = total
+        if len(chunk) < MEMO_LENGTH:
+            if len(self) >= MEMO:
+                self.clear()
+            self[chunk] = total
         return total
 
     def _plain(self, part: str) -> int:
@@ -101,7 +103,7 @@ class Counter(dict):
             known = merged_length(symbols, self.ranks)
             if len(self.of_piece) >= MEMO:
                 self.of_piece.clear()
-            if len(piece) < 64:
+            if len(piece) < MEMO_LENGTH:
                 self.of_piece[piece] = known
         return known
 
@@ -130,6 +132,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """token_counts of all documents: null texts count as empty, repeated rows count each."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -21,6 +21,7 @@ from ._common import crc_mod, table, without
 DIMENSIONS = 1 << 14
 CENTROIDS = 3
 SAMPLE_PER_LANGUAGE = 300  # training documents of each language, at most
+MAX_LANGUAGES = 500  # languages learned, at most: those of the most documents
 REJECT_SHARE = 0.35  # a long text is rejected below this share of the median cosine of its language's sample
 UNDETERMINED = "und"
 CHUNK = 1 << 20  # code points that are hashed at once
@@ -106,26 +107,34 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> Model:
     """Learns from documents with a language whose crc32(doc_id) modulo 4 is not 2.
 
-    At most SAMPLE_PER_LANGUAGE of each language, those of the smallest hash of the id; the driver gets only their
-    n-gram counts. A text without a letter teaches nothing. Only rows whose hash lies in the lowest part of its range
-    that should hold twice as many are ranked, so the task that ranks a language gets no more rows from more input.
+    At most SAMPLE_PER_LANGUAGE of each language, those of the smallest hash of id and text, and the MAX_LANGUAGES
+    languages of the most documents; the driver gets only their n-gram counts, once for repeated rows. A text without a
+    letter teaches nothing. Only rows whose hash lies in the lowest part of its range that should hold twice as many
+    are ranked, so the task that ranks a language gets no more rows from more input. An empty table gives a model that
+    rejects all. Runs jobs when called.
     """
-    own = F.xxhash64(doc_id)
-    named = docs.where(F.col(lang).isNotNull() & (crc_mod(doc_id, 4) != 2)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), own.alias("h"))
-    # One row a language, of which the model itself holds CENTROIDS vectors on the driver.
-    held = F.broadcast(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    low = named.join(held, "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2 * SAMPLE_PER_LANGUAGE)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    sample = low.withColumn("r", rank).where(f"r <= {SAMPLE_PER_LANGUAGE}").select("id", "lang").distinct()
+    known = docs.where(F.col(lang).isNotNull() & (crc_mod(doc_id, 4) != 2))
+    named = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(text).alias("th")).withColumn("h", F.xxhash64("id", "th"))
+    # At most MAX_LANGUAGES rows.
+    held = F.broadcast(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES))
+    low = named.join(held, "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2 * SAMPLE_PER_LANGUAGE).select("id", "lang", "th", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "th"))
+    sample = low.withColumn("r", rank).where(f"r <= {SAMPLE_PER_LANGUAGE}").select("id", "lang", "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lg, *ngram_counts(t)) for lg, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2].astype(np.int32) for r in rows], pa.list_(pa.int32()))], ["lang", "where", "count"])
-
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
-    # The sample has SAMPLE_PER_LANGUAGE rows a language: small enough to broadcast.
-    got = texts.join(F.broadcast(sample), "id").select("lang", "text").mapInArrow(run, "lang string, where array<int>, count array<int>").toArrow()
+            kept = [i for i, t in enumerate(batch.column("text").to_pylist()) if has_letter(t)]
+            part = batch.take(pa.array(kept, pa.int64()))
+            counts = [ngram_counts(t) for t in part.column("text").to_pylist()]
+            lists = [pa.array([c[k].astype(np.int32) for c in counts], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), part.column("th"), *lists], ["id", "lang", "th", "where", "count"])
+
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").withColumn("th", F.xxhash64("text"))
+    # The sample has SAMPLE_PER_LANGUAGE rows a language, of MAX_LANGUAGES: small enough to broadcast.
+    met = texts.join(F.broadcast(sample), ["id", "th"]).select("id", "lang", "th", "text")
+    fields = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in ("id", "lang", "th"))
+    counted = met.mapInArrow(run, f"{fields}, where array<int>, count array<int>")
+    got = counted.groupBy("id", "lang", "th").agg(F.first("where").alias("where"), F.first("count").alias("count")).toArrow()
     arrays = lambda name: [x.values.to_numpy() for x in got.column(name)]
     rows = sorted(zip(got.column("lang").to_pylist(), arrays("where"), arrays("count")), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     seen = np.ones(DIMENSIONS)
@@ -166,6 +175,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
+    """identify for all documents; null doc_ids are not held out and teach nothing. Runs jobs when called."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs), keep=["doc_id"])
     return found.select("doc_id", (F.coalesce(crc_mod("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "rejected")

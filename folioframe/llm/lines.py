@@ -4,8 +4,11 @@ A line without a word stays as it is. A line with words fails, in this order, by
 
 * ``punctuation``: runs of ``!``/``?`` or of symbols make up more than a fifth of its words, or the line has
   more than ``LONG_LINE`` words and does not end in sentence punctuation;
-* ``navigation``: two or more separators standing alone, or at most ``MENU_WORDS`` words of which each is a menu word;
-* ``boilerplate``: it holds one of the stock phrases.
+* ``navigation``: two or more separators standing alone, links for a third of its words or more, or a place in a menu:
+  three or more lines with words in succession of at most ``MENU_WORDS`` words each, none with a sentence's end;
+* ``boilerplate``: it repeats an earlier line of the document, has a legal mark, or holds one of the stock phrases.
+
+Only the stock phrases are words of a language; they are listed for each language and looked for in all texts.
 
 A document is kept if it passes the base rules and the words of its remaining lines are at least half of all.
 """
@@ -25,32 +28,58 @@ from ._words import blocks, shingles, words_of, xxh64
 
 LONG_LINE = 60
 MENU_WORDS = 8
-PHRASES = ("cookie", "privacy policy", "terms of service", "terms of use", "all rights reserved", "javascript", "click here", "subscribe to", "sign up", "log in", "lorem ipsum", "read more")
-MENU = ("home", "menu", "login", "search", "contact", "about", "help", "next", "previous", "share", "sitemap", "faq")
+MENU_RUN = 3
+PHRASES = {
+    "any": ("cookie", "javascript", "lorem ipsum", "copyright"),
+    "en": ("privacy policy", "terms of service", "terms of use", "all rights reserved", "click here", "subscribe to", "sign up", "log in", "read more"),
+    "fr": ("politique de confidentialité", "mentions légales", "conditions d'utilisation", "tous droits réservés", "cliquez ici", "lire la suite", "se connecter"),
+    "de": ("datenschutzerklärung", "impressum", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken", "weiterlesen", "jetzt anmelden"),
+    "es": ("política de privacidad", "aviso legal", "condiciones de uso", "todos los derechos reservados", "haga clic aquí", "leer más", "iniciar sesión"),
+}
+STOCK = "|".join(p for group in PHRASES.values() for p in group)
+MARK = r"[©®™]|\([cC]\)[\x20\x09]*[0-9]{4}"
+LINK = r"https?://|www\."
 NOISE = r"[!?]{2,}|[#*$%&|<>]+"
 ENDING = r"[.!?:;,…][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 SEPARATOR = r"[\x20\x09][|»>•·/][\x20\x09]"
 
 _noise, _ending, _separator, _symbol = re.compile(NOISE), re.compile(ENDING), re.compile(SEPARATOR), re.compile(r"[#*$%&|<>]")
+_stock, _mark, _link = re.compile(STOCK), re.compile(MARK), re.compile(LINK)
 _blank = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def failure(line: str, words: list[str]) -> str | None:
-    """The rule that a line with these words fails, or None."""
+def failure(line: str, words: list[str], menu: bool = False, again: bool = False) -> str | None:
+    """The rule that a line with these words fails, or None. ``menu``: it stands in a menu; ``again``: it repeats a line."""
     if 5 * len(_noise.findall(line)) > len(words) or len(words) > LONG_LINE and not _ending.search(line):
         return "punctuation"
-    if len(_separator.findall(line)) >= 2 or len(words) <= MENU_WORDS and all(w.lower() in MENU for w in words):
+    if menu or len(_separator.findall(line)) >= 2 or 3 * sum(bool(_link.match(w)) for w in words) >= len(words):
         return "navigation"
-    low = line.lower()
-    return "boilerplate" if any(p in low for p in PHRASES) else None
+    return "boilerplate" if again or _mark.search(line) or _stock.search(line.lower()) else None
+
+
+def in_menus(stubs: list[bool]) -> list[bool]:
+    """Which of a document's lines with words stand in a run of MENU_RUN or more stubs."""
+    out, run = [False] * len(stubs), 0
+    for i, stub in enumerate([*stubs, False]):
+        if stub:
+            run += 1
+            continue
+        if run >= MENU_RUN:
+            out[i - run : i] = [True] * run
+        run = 0
+    return out
 
 
 def clean(text: str) -> tuple[str, dict[str, int], int]:
     """The text without failing lines, the number of lines that failed each rule, and the words that went with them."""
     stay, failed, lost = [], {"punctuation": 0, "navigation": 0, "boilerplate": 0}, 0
-    for line in text.split("\n"):
-        words = [w for w in _blank.split(line) if w]
-        why = failure(line, words) if words else None
+    split = [(line, [w for w in _blank.split(line) if w]) for line in text.split("\n")]
+    menus = iter(in_menus([len(words) <= MENU_WORDS and not _ending.search(line) for line, words in split if words]))
+    seen: set[str] = set()
+    for line, words in split:
+        why = failure(line, words, next(menus), line in seen) if words else None
+        if words:
+            seen.add(line)
         if why:
             failed[why] += 1
             lost += len(words)
@@ -123,6 +152,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 
 
 def op1_line_quality(spark, sf_dir: str) -> DataFrame:
+    """line_quality of all documents, less the cleaned texts; null texts fail the base rules."""
     return line_quality(table(spark, sf_dir, "documents")).drop("cleaned_text")
 
 
@@ -134,15 +164,20 @@ _W = r"[^\x20\x09-\x0D]+"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
-  SELECT rid, line, len(regexp_extract_all(line, '{_W}')) AS n
-  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+  SELECT *, len(regexp_extract_all(line, '{_W}')) AS n, regexp_matches(line, {_re(ENDING)}) AS ended
+  FROM (SELECT rid, unnest(w) AS line, generate_subscripts(w, 1) AS pos FROM (SELECT rid, string_split(text, chr(10)) AS w FROM d))),
+stubs AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY pos) > 1 AS again,
+         coalesce(sum((NOT stub)::INTEGER) OVER (PARTITION BY rid ORDER BY pos), 0) AS run
+  FROM (SELECT *, n <= {MENU_WORDS} AND NOT ended AS stub FROM lines WHERE n > 0)),
+placed AS (SELECT *, stub AND count(*) FILTER (stub) OVER (PARTITION BY rid, run) >= {MENU_RUN} AS menu FROM stubs),
 judged AS (
   SELECT rid, line, n, CASE
-      WHEN 5 * len(regexp_extract_all(line, {_re(NOISE)})) > n OR (n > {LONG_LINE} AND NOT regexp_matches(line, {_re(ENDING)})) THEN 'punctuation'
-      WHEN len(regexp_extract_all(line, {_re(SEPARATOR)})) >= 2
-        OR (n <= {MENU_WORDS} AND len(list_filter(regexp_extract_all(lower(line), '{_W}'), lambda w: w NOT IN ({", ".join(map(_re, MENU))}))) = 0) THEN 'navigation'
-      WHEN regexp_matches(lower(line), '{"|".join(PHRASES)}') THEN 'boilerplate' END AS why
-  FROM lines WHERE n > 0),
+      WHEN 5 * len(regexp_extract_all(line, {_re(NOISE)})) > n OR (n > {LONG_LINE} AND NOT ended) THEN 'punctuation'
+      WHEN menu OR len(regexp_extract_all(line, {_re(SEPARATOR)})) >= 2
+        OR 3 * len(list_filter(regexp_extract_all(line, '{_W}'), lambda w: regexp_matches(w, '^(?:{LINK})'))) >= n THEN 'navigation'
+      WHEN again OR regexp_matches(line, {_re(MARK)}) OR regexp_matches(lower(line), {_re(STOCK)}) THEN 'boilerplate' END AS why
+  FROM placed),
 per AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (why IS NOT NULL), 0) AS words_lost,
          count(*) FILTER (why = 'punctuation') AS failed_punctuation, count(*) FILTER (why = 'navigation') AS failed_navigation,

@@ -144,12 +144,16 @@ def fit_rows(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Learns from labelled rows whose crc32(doc_id) modulo 5 is not 0, MAX_LABELS at most; null labels teach nothing."""
+    """Learns from labelled rows whose crc32(doc_id) modulo 5 is not 0, MAX_LABELS at most; null labels teach nothing.
+
+    Of documents that share a doc_id and a label one teaches, that of the smallest statistics, so at most MAX_LABELS rows
+    come to the driver. Empty tables give a constant score. Runs jobs when called."""
     known = labels.where(F.col(label).isNotNull() & (crc_mod("doc_id", 5) != 0)).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id", "y").limit(MAX_LABELS).distinct()
     # At most MAX_LABELS rows of two numbers: small enough to broadcast.
     joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
-    rows = statistics(joined, keep=("id", "y")).toPandas().sort_values(["id", "y", *STATISTICS])
+    one = statistics(joined, keep=("id", "y")).groupBy("id", "y").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("id", "y", "s.*")
+    rows = one.toPandas().sort_values(["id", "y", *STATISTICS])
     return fit_rows(rows[list(STATISTICS)].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
@@ -165,6 +169,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """score of all documents; null doc_ids are not held out. Runs jobs when called."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (F.coalesce(crc_mod("doc_id", 5), F.lit(-1)) == 0).alias("held_out"), "score", "predicted")

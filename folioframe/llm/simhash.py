@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage, table, without
+from ._common import cut_lineage, table
 from ._words import blocks, shingles, words_of, xxh64
 
 SEED = 42
@@ -384,18 +384,16 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """One row of each group of near copies (``NEAR_COPIES``) with all its columns: that of the smallest doc_id (nulls
     last), then of the smallest text hash. Exact repeats of that row are dropped as well.
 
-    Null and blank texts are copies of each other. An empty table gives no rows; input columns named like the work
-    columns (__id, __th) are lost. Runs jobs when called.
+    Null and blank texts are copies of each other. An empty table gives no rows; other columns may have any names. Runs
+    jobs when called.
     """
-    work = ["__id", "__th"]
-    src = without(docs, work)
     ident = [F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__th")]
-    fps = cut_lineage(profiles(src.select(*ident, F.col(text).alias("text")), keep=("__id", "__th")))
+    fps = cut_lineage(profiles(docs.select(*ident, F.col(text).alias("text")), keep=("__id", "__th")))
     ranked = fps.select("fp", "five", F.struct(F.col("__id").isNull().alias("none"), "__id", "__th").alias("rep"))
     stay = components(ranked, "rep", NEAR_COPIES).select("component").distinct().select("component.__id", "component.__th")
-    marked = src.withColumns({"__id": F.col(doc_id), "__th": F.xxhash64(text)})
+    marked = docs.select(*ident, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
     found = marked.join(stay, marked["__id"].eqNullSafe(stay["__id"]) & (marked["__th"] == stay["__th"]), "left_semi")
-    return found.dropDuplicates(["__id", "__th"]).drop(*work)
+    return found.dropDuplicates(["__id", "__th"]).select("__all.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ member of its own) and ``indexes/index.cdx`` (one line a record: offset, length,
 archive with a ZIP64 directory. The reader fetches the file's tail, follows the end record (and the ZIP64 locator if
 there is one) to the central directory, reads the index member and then each record by its byte range.
 
+``entries`` takes any stored members with records, each with its lines in an index.
+
 Files are reached through pyarrow's filesystems by URI, so that they can lie in any store that executors share.
 """
 
@@ -24,13 +26,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage, shared_dir, table
+from ._common import checked, cut_lineage, shared_dir, table
 
 ARCHIVE_BYTES = 64 << 20  # an archive is closed when its records reach this size
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Signatures and marks of the ZIP format (fixed values).
 LOCAL, CENTRAL, END, END64, LOCATOR64, MARK32, MARK16 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 0xFFFFFFFF, 0xFFFF
 STORED = 0
+RECORDS = (".warc.gz", ".warc")  # names of members that hold records
 
 
 def digest(payload: bytes) -> str:
@@ -137,6 +140,30 @@ def data_offset(read: ByRange, member: Member) -> int:
     return member.header + 30 + n_name + n_extra
 
 
+def entries(read: ByRange, path: str = "archive") -> list[tuple[int, int]]:
+    """Offset in the file and length of every record of every member under archive/ that the indexes list.
+
+    An index is a stored member under indexes/. Its lines have an offset, a length, a record id and, where the archive
+    has several members with records, a member's file name; a line without one belongs to the only member. ValueError
+    where a member with records is in no index or a line names no member."""
+    members = directory(read)
+    bodies = {n.removeprefix("archive/"): m for n, m in members.items() if n.startswith("archive/") and n.endswith(RECORDS)}
+    out, listed = [], set()
+    starts = {n: data_offset(read, m) for n, m in bodies.items()}
+    for index in (m for n, m in members.items() if n.startswith("indexes/") and not n.endswith("/")):
+        lines = [x.split(" ") for x in read(data_offset(read, index), index.size).decode().split("\n") if x]
+        listed |= set(bodies) if len(bodies) == 1 else set()
+        for line in lines:
+            name = line[3] if len(line) > 3 else next(iter(bodies)) if len(bodies) == 1 else ""
+            if name not in bodies or int(line[0]) + int(line[1]) > bodies[name].size:
+                raise ValueError(f"{path}: an index line lies in no member: {' '.join(line)}")
+            listed.add(name)
+            out.append((starts[name] + int(line[0]), int(line[1])))
+    if missing := sorted(n for n, m in bodies.items() if n not in listed and m.size):
+        raise ValueError(f"{path}: no index lists the records of {', '.join(missing)}")
+    return out
+
+
 # --- WARC --------------------------------------------------------------------------------------------------------
 
 
@@ -173,11 +200,14 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, html, sha (hex SHA-1 of the payload) and first: the smallest page_id of equal payloads.
 
     A null html is the empty payload. Rows that repeat the smallest page_id are responses all; null page_ids are
-    never the smallest unless there is no other, then they are responses. Only these columns are read."""
+    never the smallest unless there is no other, then they are responses. Only these columns are read; an empty table
+    gives no rows. Runs a job when called."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     src = src.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    firsts = src.groupBy("sha").agg(F.min("page_id").alias("first"))
-    return src.join(firsts, "sha")
+    # Only payloads that repeat need a first page. If their hashes can be broadcast, no html is shuffled.
+    firsts = cut_lineage(src.groupBy("sha").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    repeated = F.col("least").isNotNull() | F.col("page_id").isNull()
+    return src.join(checked(firsts), "sha", "left").withColumn("first", F.when(repeated, F.col("least")).otherwise(F.col("page_id"))).drop("least")
 
 
 def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -223,7 +253,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """The records of the archives (column ``archive``, paths under the folder), read by range.
 
     payload_bytes and payload_digest are the full payload's, from the payload of a response (which must have the
-    digest its header names) and from the headers of a revisit. A damaged archive raises ValueError.
+    digest its header names) and from the headers of a revisit. All members of an archive that hold records are read,
+    by their indexes; an archive with an empty index gives no rows. A damaged archive raises ValueError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +264,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 path = f"{at}/{name}"
                 with fs.open_input_file(path) as file:
                     read = ByRange(file, file.size())
-                    members = directory(read)
-                    body, index = data_offset(read, members[DATA]), members[INDEX]
-                    entries = [x.split(" ") for x in read(data_offset(read, index), index.size).decode().split("\n") if x]
                     rows = []
-                    for offset, length, _ in entries:
-                        headers, http, payload = parse(read(body + int(offset), int(length)))
+                    for at_byte, length in entries(read, path):
+                        headers, http, payload = parse(read(at_byte, length))
                         revisit = headers["warc-type"] == "revisit"
                         sha = headers["warc-payload-digest"].removeprefix("sha1:")
                         if not revisit and digest(payload) != sha:
@@ -246,13 +274,16 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                         size = int(http["content-length"]) if revisit else len(payload)
                         rows.append((_page(headers["warc-record-id"]), size, sha, headers["warc-type"], _page(headers["warc-refers-to"]) if revisit else None))
                     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+                    yield pa.RecordBatch.from_arrays(columns, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     spread = archives.select("archive").repartition(max(1, min(archives.count(), 10_000)), "archive")
     return spread.mapInArrow(run, SCHEMA)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """All pages, written to archives in the shared folder and read back. Null html is the empty payload. The archives
+    are the result's source and stay in the folder. Writes when called."""
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(plan_records(table(spark, sf_dir, "pages")), folder), folder)
 
