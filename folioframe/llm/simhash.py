@@ -29,10 +29,10 @@ of six in all, either e1 = 0 and e2 <= 1, or e1 = 0 and the rest are 2 each, or
 * two segments differ in one bit each: the index of one with the neighbourhood of the other on one side, the other way
   round on the other side.
 
-Equal fingerprints are merged before any key is made. Nodes are first tied to the smallest node that has some of the
-same segments, if it is near; what hangs together by these ties needs no further links, so the join on keys gives out
-only pairs of different labels and a tight cluster costs no pair for each two of its members. Links become components
-by distributed hooking.
+Equal fingerprints are merged before any key is made. Each probed key is first joined with no more than the smallest and
+the largest node that is stored under it, and near ones are tied; ties become labels by distributed hooking. Keys with
+more nodes than these two are then joined in full, but only pairs of different labels are given out. So no link is
+lost, and a cluster of copies costs a few ties a member and no pair for each two of its members.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage, table
+from ._common import checked, cut_lineage, table
 from ._words import blocks, shingles, words_of, xxh64
 
 SEED = 42
@@ -258,21 +258,14 @@ def near_keys(fp: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([k for k, _ in out]), np.concatenate([r for _, r in out])
 
 
-def _pair_masks(widths: tuple[tuple[int, int], ...]) -> tuple[int, ...]:
-    """For each two segments (shift, width) the bits of both, as signed numbers."""
-    ones = [((1 << w) - 1) << s for s, w in widths]
-    return tuple(_signed(x | y) for i, x in enumerate(ones) for y in ones[i + 1 :])
-
-
 @dataclass(frozen=True)
 class Scheme:
     """Which nodes are near: each of ``columns`` differs in at most so many ``bits``. ``keys`` gives the stored and the
-    probed keys of the first column, ``masks`` the parts of it by which nodes are tied to a first one."""
+    probed keys of the first column."""
 
     columns: tuple[str, ...]
     bits: tuple[int, ...]
     keys: Callable[[np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
-    masks: tuple[int, ...]
 
     def node(self, prefix: str = "") -> Column:
         made = [F.col(prefix + c) for c in self.columns]
@@ -285,8 +278,8 @@ class Scheme:
         return [F.col(c).alias(prefix + c) for c in self.columns]
 
 
-THREE_BITS = Scheme(("fp",), (MAX_BITS,), join_keys, _pair_masks(SEGMENTS))
-NEAR_COPIES = Scheme(("fp", "five"), (6, 14), near_keys, _pair_masks(((48, 16), (32, 16), (16, 16), (0, 16))))
+THREE_BITS = Scheme(("fp",), (MAX_BITS,), join_keys)
+NEAR_COPIES = Scheme(("fp", "five"), (6, 14), near_keys)
 
 
 def _keyed(nodes: DataFrame, probe: bool, scheme: Scheme) -> DataFrame:
@@ -305,22 +298,36 @@ def _keyed(nodes: DataFrame, probe: bool, scheme: Scheme) -> DataFrame:
 
 
 def ties(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b): each node b with the smallest node a that has two of its segments, if the two are near."""
-    parts = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(scheme.masks)])
-    keyed = nodes.select(F.explode(parts).alias("key"), *scheme.named("b_"))
-    first = keyed.groupBy("key").agg(F.min(scheme.node("b_")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("key", "a", *[(F.col("a") if len(scheme.columns) == 1 else F.col(f"a.{c}")).alias(f"a_{c}") for c in scheme.columns])
-    return keyed.join(first, "key").withColumn("b", scheme.node("b_")).where(scheme.near("a_", "b_") & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    """(a, b): each node a with the smallest and the largest node stored under each of its probed keys that are near."""
+    fp, *rest = scheme.columns
+    ends = [x for p, least, by in (("f_", F.min, F.min_by), ("l_", F.max, F.max_by)) for x in (least(fp).alias(p + fp), *[by(c, fp).alias(p + c) for c in rest])]
+    ended = _keyed(nodes, False, scheme).groupBy("key").agg(*ends)
+    probed = _keyed(nodes, True, scheme).select(F.col("key").alias("a_key"), *scheme.named("a_"))
+    tied = lambda p: scheme.near("a_", p) & (scheme.node("a_") != scheme.node(p))
+    met = probed.join(ended, (F.col("a_key") == F.col("key")) & (tied("f_") | tied("l_")))
+    each = F.array(*[F.when(tied(p), scheme.node(p)) for p in ("f_", "l_")])
+    return met.select(scheme.node("a_").alias("a"), F.explode(each).alias("b")).where("b IS NOT NULL").distinct()
+
+
+def crowded(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Keys under which other nodes may be stored than the two that ``ties`` compares."""
+    fp = scheme.columns[0]
+    held = _keyed(nodes.select(*scheme.columns), False, scheme).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(fp).alias("lo"), F.max(fp).alias("hi"))
+    return held.where("n > 2 OR (n = 2 AND lo = hi)").select("key")
+
+
+def links(nodes: DataFrame, scheme: Scheme = THREE_BITS, only: DataFrame | None = None) -> DataFrame:
+    """Pairs a < b of the distinct nodes that are near, each once; ``only`` limits them to those of a key in it. With a
+    column ``label`` only pairs of nodes whose labels differ (null: a label of its own), and their labels la and lb."""
+    extra = [c for c in ("label",) if c in nodes.columns]
 
+    def side(p: str, probe: bool) -> DataFrame:
+        keyed = _keyed(nodes.select(*scheme.columns, *extra), probe, scheme)
+        keyed = keyed if only is None else keyed.join(only, "key", "left_semi")
+        return keyed.select(F.col("key").alias(p + "key"), *scheme.named(p), *[F.col(c).alias("l" + p[0]) for c in extra])
 
-def links(nodes: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
-    """Pairs a < b of the distinct nodes that are near, each once; with a column ``label``, only pairs of nodes whose
-    labels differ (null: a label of its own), and their labels la and lb."""
-    extra = [c for c in ("label",) if c in nodes.columns]
-    side = lambda p, probe: _keyed(nodes.select(*scheme.columns, *extra), probe, scheme).select(F.col("key").alias(p + "key"), *scheme.named(p), *[F.col(c).alias("l" + p[0]) for c in extra])
-    probed, stored = side("a_", True), side("b_", False)
     apart = F.coalesce(F.col("la") != F.col("lb"), F.lit(True)) if extra else F.lit(True)
-    joined = probed.join(stored, (F.col("a_key") == F.col("b_key")) & (scheme.node("a_") < scheme.node("b_")) & scheme.near("a_", "b_") & apart)
+    joined = side("a_", True).join(side("b_", False), (F.col("a_key") == F.col("b_key")) & (scheme.node("a_") < scheme.node("b_")) & scheme.near("a_", "b_") & apart)
     return joined.select(scheme.node("a_").alias("a"), scheme.node("b_").alias("b"), *(["la", "lb"] if extra else [])).distinct()
 
 
@@ -349,16 +356,17 @@ def hook(edges: DataFrame) -> DataFrame:
 
 def components(fps: DataFrame, by: str, scheme: Scheme = THREE_BITS) -> DataFrame:
     """``fps`` (with the scheme's columns and ``by``) plus ``component``: the smallest ``by`` reachable over links, itself
-    included. No link between different nodes is left out: those that are not made join nodes of one label already.
+    included. No link between different nodes is left out: those that are not given out join nodes of one label.
 
     fps is read several times, so it should be a written table (see ``cut_lineage``). Runs jobs when called.
     """
     names = list(scheme.columns)
-    nodes = fps.groupBy(*names).agg(F.min(by).alias("least_id")).withColumn("node", scheme.node())
+    nodes = cut_lineage(fps.groupBy(*names).agg(F.min(by).alias("least_id")).withColumn("node", scheme.node()))
     tied = cut_lineage(ties(nodes.select(*names), scheme))
     labelled = nodes.join(hook(tied), "node", "left") if not tied.isEmpty() else nodes.withColumn("label", F.lit(None).cast(nodes.schema["node"].dataType))
     labelled = cut_lineage(labelled)
-    edges = cut_lineage(links(labelled, scheme).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
+    only = checked(cut_lineage(crowded(nodes, scheme)))
+    edges = cut_lineage(links(labelled, scheme, only).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
     whole = labelled.withColumn("label", F.coalesce("label", "node"))
     if not edges.isEmpty():
         top = hook(edges).select(F.col("node").alias("label"), F.col("label").alias("top"))

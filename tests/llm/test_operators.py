@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -180,6 +181,13 @@ def test_ties_stand_for_links(spark):
         centre = rng.getrandbits(64)
         fps |= {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(40)}
     rows = [(i, simhash._signed(f)) for i, f in enumerate(sorted(fps))]
+    nodes = spark.createDataFrame([(f,) for _, f in rows], "fp long")
+    pairs = simhash.links(nodes).count()
+    assert pairs == sum((a ^ b).bit_count() <= 3 for a, b in itertools.combinations(fps, 2))
+    # What the ties do not compare lies under crowded keys.
+    tied = {frozenset((r.a, r.b)) for r in simhash.ties(nodes, simhash.THREE_BITS).collect()}
+    under = {frozenset((r.a, r.b)) for r in simhash.links(nodes, only=simhash.crowded(nodes, simhash.THREE_BITS)).collect()}
+    assert len(tied | under) == pairs
     got = {r.id: r.component for r in simhash.components(spark.createDataFrame(rows, "id long, fp long"), "id").collect()}
     assert got == brute_components([(i, f"{f & (2**64 - 1):x}") for i, f in rows])
 
