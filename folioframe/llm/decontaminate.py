@@ -60,9 +60,9 @@ def item_sketches(items: DataFrame) -> DataFrame:
 
 
 def candidates(keyed: DataFrame, asked: DataFrame, short: Sequence[int]) -> DataFrame:
-    """(doc_id, text_hash, item_id, estimate): documents (with their words w, n in all) and items whose sketch they hold as far as
+    """(doc_id, text_hash, item_id, estimate): documents (with their words w, n in all at most) and items whose sketch they hold as far as
     a match must; none that matches is left out. ``estimate`` is the containment by the sketch."""
-    # The words are made below the explode, once a document; the number of words bounds that of shingles.
+    # The words are made below the explode, once a document; half the characters bound the words, and these the shingles.
     hashed = keyed.select("doc_id", "text_hash", "n", F.explode(shingle_hashes(F.col("w"), short)).alias("h"))
     met = hashed.join(checked(item_sketches(asked), MAX_BROADCAST), "h").where(F.col("n") * 100 >= F.col("m") * PERCENT)
     held = met.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("h").alias("held"), F.first("k").alias("k"), F.first("need").alias("need"))
@@ -78,7 +78,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     rows count once and a null doc_id is an id of its own. Items that repeat an item_id pool their shingles. Empty
     tables give no rows; other columns of either table are left out.
     """
-    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
+    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.floor((F.length(text) + 1) / 2).alias("n"), _words(F.col(text)).alias("w"))
     asked = items.select("item_id", _words(F.col("text")).alias("w"))
     short = short_lengths(asked)
     found = cut_lineage(candidates(keyed, asked, short))
