@@ -79,6 +79,34 @@ def furniture_key(text: Column) -> Column:
     return trim(F.regexp_replace(F.regexp_replace(ascii_lower(text), "[0-9]+", "#"), f"{WS}+", " "))
 
 
+def json_at(document: Column, pointer: str) -> Column:
+    """The JSON text of what an RFC 6901 pointer names in a JSON document; null if there is nothing, or no JSON.
+    ValueError for a key that Spark's variant paths cannot name: an empty one, or one with both kinds of quotes."""
+    if pointer and not pointer.startswith("/"):
+        raise ValueError(f"not a JSON pointer: {pointer}")
+    here = F.try_parse_json(document)
+    for part in pointer.split("/")[1:]:
+        key = part.replace("~1", "/").replace("~0", "~")
+        quote = "'" if "'" not in key else '"'
+        if not key or quote in key:
+            raise ValueError(f"a key that Spark's paths cannot name: {key!r}")
+        member = F.try_variant_get(here, f"$[{quote}{key}{quote}]", "variant")
+        here = F.coalesce(member, F.try_variant_get(here, f"$[{int(part)}]", "variant")) if re.fullmatch("0|[1-9][0-9]*", part) else member
+    return F.to_json(here)
+
+
+#: Line ends and white space as Unicode has them (fixed values).
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+TRAILING = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def clean_reference(text: Column) -> Column:
+    """Lines without trailing white space, no blank lines at either end, and a line feed at the end of what is left."""
+    bare = F.array_join(F.transform(F.split(text, LINE_END), lambda x: F.regexp_replace(x, rf"{TRAILING}\z", "")), "\n")
+    bare = F.regexp_replace(bare, r"^\n+|\n+\z", "")
+    return F.when(bare == "", "").otherwise(F.concat(bare, F.lit("\n")))
+
+
 def escape_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))

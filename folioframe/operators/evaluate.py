@@ -28,6 +28,18 @@ def corpus_rates(rates: DataFrame) -> DataFrame:
     return s.select(ratio(F.col("ce"), F.col("c")).alias("cer"), ratio(F.col("we"), F.col("w")).alias("wer"), "missing")
 
 
+def page_totals(pages: DataFrame) -> DataFrame:
+    """One row: pages, ok_rate, text_found_rate, cer, detection_recall and crop_cer (0 where nothing can be divided).
+
+    pages: ok, pred_chars, gt_chars, edit_distance, gt_words, found_words, crop_chars, crop_distance."""
+    share = lambda a, b: F.coalesce(F.when(F.sum(b) > 0, F.sum(a) / F.sum(b)), F.lit(0.0))
+    rate = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    return pages.agg(
+        F.count(F.lit(1)).alias("pages"), rate(F.col("ok")).alias("ok_rate"), rate(F.col("pred_chars") > 0).alias("text_found_rate"), share("edit_distance", "gt_chars").alias("cer"),
+        share("found_words", "gt_words").alias("detection_recall"), share("crop_distance", "crop_chars").alias("crop_cer"),
+    )
+
+
 def character_excess(pairs: DataFrame, key: str) -> DataFrame:
     """key, excess: characters of the prediction beyond their number in the reference."""
     chars = lambda c, n: pairs.select(key, F.explode(F.split(c, "")).alias("ch")).where("ch <> ''").groupBy(key, "ch").agg(F.count(F.lit(1)).alias(n))

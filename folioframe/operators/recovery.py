@@ -153,11 +153,13 @@ def group_lines(lines: list[Line]) -> list[list[Line]]:
 
 
 def _aligned(values: list[float], tol: float) -> int:
-    """Number of clusters of two values or more that lie within the tolerance of the one before."""
-    values, count, run = sorted(values), 0, 1
-    for a, b in zip(values, values[1:]):
-        run = run + 1 if b - a <= tol else 1
-        count += run == 2
+    """Number of clusters of two values or more; a value joins while it lies within the tolerance of the cluster's mean."""
+    count, cluster = 0, []
+    for value in [*sorted(values), math.inf]:
+        if cluster and value - sum(cluster) / len(cluster) > tol:
+            count += len(cluster) > 1
+            cluster = []
+        cluster.append(value)
     return count
 
 

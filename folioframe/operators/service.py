@@ -56,6 +56,13 @@ def sort_messages(messages: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem).drop("whole")
 
 
+def envelopes(events: DataFrame, order: list[str]) -> DataFrame:
+    """events (run_id, ...) with sequence, from 1 in each run by ``order``, and event_id; both replace such columns."""
+    n = F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("long")
+    numbered = events.withColumn("sequence", n)
+    return numbered.withColumns({"schema_version": F.lit(1), "event_id": F.concat(F.lit("evt_"), F.col("run_id").cast("string"), F.lit("_"), F.col("sequence"))})
+
+
 def event_tail(events: DataFrame, after: int = 0) -> DataFrame:
     """Each run's events after sequence ``after``, up to the first that ends the run."""
     before = Window.partitionBy("run_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)

@@ -1 +1 @@
-from . import checks, queries, runs  # noqa: F401
+from . import checks, parts, queries, runs  # noqa: F401

@@ -64,7 +64,8 @@ CTE = {
           SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id, page_index ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM intervals WHERE b > a)) GROUP BY ALL) GROUP BY ALL""",
     "run_events": """SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence,
         CASE event_type WHEN 'signup' THEN 'job_started' WHEN 'view' THEN 'stage_started' WHEN 'click' THEN 'stage_progress' WHEN 'purchase' THEN 'job_succeeded' WHEN 'error' THEN 'stage_failed' END AS type,
-        CASE WHEN event_type IN ('view', 'error') THEN event_type END AS stage, CASE WHEN event_type = 'error' THEN props END AS error FROM events""",
+        CASE WHEN event_type IN ('view', 'error', 'click') THEN event_type END AS stage, CASE WHEN event_type = 'error' THEN props END AS error,
+        CASE WHEN event_id % 7 = 0 THEN 1 ELSE 2 END AS attempt FROM events""",
 }
 ORDER = list(CTE)
 

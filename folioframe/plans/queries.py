@@ -394,13 +394,14 @@ def iou_pairs(spark, d):
     return both.where(G.intersection("p_", "q_") > 0).select("l_orderkey", "a", "b", F.round(G.iou("p_", "q_"), 9).alias("iou"))
 
 
-@query("""SELECT label, count(*) AS refs, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS "fn" FROM (SELECT l_returnflag AS label, i % 3 <> 0 AS hit FROM (""" + _ITEMS + """)) GROUP BY label""")
+@query("""SELECT label, count(*) AS refs, count(*) AS preds, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp, count(*) FILTER (NOT hit) AS "fn", round(count(*) FILTER (hit) / count(*), 9) AS "precision",
+  round(count(*) FILTER (hit) / count(*), 9) AS recall, round(count(*) FILTER (hit) / count(*), 9) AS f1, round(90 / 110, 9) AS mean_iou FROM (SELECT l_returnflag AS label, i % 3 <> 0 AS hit FROM (""" + _ITEMS + """)) GROUP BY label""")
 def detection_f1(spark, d):
     o = F.col("box_id") * 1000.0
     refs = _item_boxes(spark, d).select("l_orderkey", "label", "box_id", o.alias("x0"), F.lit(0.0).alias("y0"), (o + 10).alias("x1"), F.lit(10.0).alias("y1"))
     preds = refs.withColumn("x0", F.when(F.col("box_id") % 3 == 0, F.col("x0") + 500).otherwise(F.col("x0") + 1)).withColumn("x1", F.col("x0") + 10)
     matches = evaluate.match_boxes(refs, preds, ["l_orderkey", "label"])
-    return evaluate.detection_scores(refs, preds, matches).select("label", "refs", "tp", "fn")
+    return evaluate.detection_scores(refs, preds, matches).select("label", "refs", "preds", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "mean_iou")])
 
 
 @query("""SELECT a.conv_id, count(*) AS pairs, count(*) FILTER (a.p < b.p) AS correct, count(*) FILTER (a.p < b.p) / count(*) AS score
@@ -437,16 +438,18 @@ def ctc_decode(spark, d):
 
 @query("""SELECT run_id, arg_max(status, sequence) AS status, arg_max(stage, sequence) FILTER (stage IS NOT NULL) AS stage, arg_max(error, sequence) FILTER (error IS NOT NULL) AS error, max(sequence) AS last_sequence FROM (
   SELECT *, first_value(CASE WHEN status IN ('failed', 'succeeded') THEN status END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS final FROM (
-    SELECT *, CASE type WHEN 'job_started' THEN 'running' WHEN 'stage_started' THEN 'running' WHEN 'job_succeeded' THEN 'succeeded' WHEN 'stage_failed' THEN 'failed' END AS status FROM run_events) WHERE status IS NOT NULL)
+    SELECT *, CASE WHEN type IN ('job_started', 'stage_started', 'stage_progress', 'artifact_ready') THEN 'running' WHEN type = 'job_succeeded' THEN 'succeeded' WHEN type = 'stage_failed' THEN 'failed' END AS status
+    FROM run_events WHERE attempt = 2) WHERE status IS NOT NULL)
   WHERE final IS NULL OR final = status GROUP BY run_id""")
 def run_state_batch(spark, d):
-    return run_state.project(run_events(read(spark, d, "events")))
+    events = run_events(read(spark, d, "events"))
+    return run_state.project(run_state.of_attempts(events, events.select("run_id", F.lit(2).alias("attempt")).distinct()))
 
 
 def run_events(events: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for kv in {"signup": "job_started", "view": "stage_started", "click": "stage_progress", "purchase": "job_succeeded", "error": "stage_failed"}.items() for x in kv])
     t = F.col("event_type")
-    return events.select(F.col("user_id").alias("run_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("sequence"), F.try_element_at(kind, t).alias("type"), F.when(t.isin("view", "error"), t).alias("stage"), F.when(t == "error", F.col("props")).alias("error"))
+    return events.select(F.col("user_id").alias("run_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("sequence"), F.try_element_at(kind, t).alias("type"), F.when(t.isin("view", "error", "click"), t).alias("stage"), F.when(t == "error", F.col("props")).alias("error"), F.when(F.col("event_id") % 7 == 0, 1).otherwise(2).alias("attempt"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

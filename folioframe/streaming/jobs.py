@@ -42,13 +42,22 @@ def latest_runs(changes: DataFrame) -> DataFrame:
 def run_jobs(jobs: DataFrame, handle: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Runs ``handle`` on each batch of a stream of jobs (job_id, ...) and writes its rows (job_id, status, error).
 
-    A batch that fails is written as failed jobs with the error and counts as read all the same: the stream goes on.
-    A batch may run more than once after a lost driver; its rows are replaced."""
+    Where a batch fails its jobs run one by one, and those that fail again are written as failed with the error: the
+    stream goes on. A batch holds as many jobs as the source's limit a trigger allows. A batch may run more than once
+    after a lost driver; its rows are replaced."""
+
+    def alone(batch: DataFrame, job) -> list[tuple]:
+        try:
+            return [tuple(r) for r in handle(batch.where(F.col("job_id").eqNullSafe(F.lit(job)))).select("job_id", "status", "error").collect()]
+        except Exception as failure:  # any failure of a job ends that job, not the loop
+            return [(job, "failed", str(failure))]
 
     def write(batch: DataFrame, number: int) -> None:
         try:
             _put(handle(batch).select("job_id", "status", "error"), number, f"{folder}/jobs")
-        except Exception as failure:  # any failure of a job ends that job, not the loop
-            _put(batch.select("job_id", F.lit("failed").alias("status"), F.lit(str(failure)[:1000]).alias("error")), number, f"{folder}/jobs")
+        except Exception:  # of at least one job: which one shows when each runs alone
+            rows = [r for j in batch.select("job_id").distinct().collect() for r in alone(batch, j.job_id)]
+            kind = batch.schema["job_id"].dataType.simpleString()
+            _put(batch.sparkSession.createDataFrame(rows, f"job_id {kind}, status string, error string"), number, f"{folder}/jobs")
 
     return jobs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
