@@ -32,7 +32,8 @@ of six in all, either e1 = 0 and e2 <= 1, or e1 = 0 and the rest are 2 each, or
 Equal fingerprints are merged before any key is made. Each probed key is first joined with no more than the smallest and
 the largest node that is stored under it, and near ones are tied; ties become labels by distributed hooking. Keys with
 more nodes than these two are then joined in full, but only pairs of different labels are given out. So no link is
-lost, and a cluster of copies costs a few ties a member and no pair for each two of its members.
+lost, and a cluster of copies costs a few ties a member and no pair for each two of its members: of its ties under
+such crowded keys a node keeps two.
 """
 
 from __future__ import annotations
@@ -297,23 +298,34 @@ def _keyed(nodes: DataFrame, probe: bool, scheme: Scheme) -> DataFrame:
     return nodes.mapInArrow(run, f"key long, {fields}")
 
 
+#: Keys (with n nodes, lo and hi their least and largest fingerprint) under which more may be stored than ``ties`` compares.
+CROWDED = "(n > 2 OR (n = 2 AND lo = hi))"
+
+
 def ties(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b): each node a with the smallest and the largest node stored under each of its probed keys that are near."""
+    """(a, b): each node a with the smallest and the largest node stored under each of its probed keys that are near.
+
+    Of those under crowded keys, which are joined in full later, a node keeps its smallest and its largest. Runs a job
+    when called."""
     fp, *rest = scheme.columns
     ends = [x for p, least, by in (("f_", F.min, F.min_by), ("l_", F.max, F.max_by)) for x in (least(fp).alias(p + fp), *[by(c, fp).alias(p + c) for c in rest])]
-    ended = _keyed(nodes, False, scheme).groupBy("key").agg(*ends)
+    held = (F.count(F.lit(1)).alias("n"), F.min(fp).alias("lo"), F.max(fp).alias("hi"))
+    ended = _keyed(nodes, False, scheme).groupBy("key").agg(*ends, *held).withColumn("crowd", F.expr(CROWDED))
     probed = _keyed(nodes, True, scheme).select(F.col("key").alias("a_key"), *scheme.named("a_"))
     tied = lambda p: scheme.near("a_", p) & (scheme.node("a_") != scheme.node(p))
     met = probed.join(ended, (F.col("a_key") == F.col("key")) & (tied("f_") | tied("l_")))
     each = F.array(*[F.when(tied(p), scheme.node(p)) for p in ("f_", "l_")])
-    return met.select(scheme.node("a_").alias("a"), F.explode(each).alias("b")).where("b IS NOT NULL").distinct()
+    found = met.select(scheme.node("a_").alias("a"), F.explode(each).alias("b"), "crowd").where("b IS NOT NULL")
+    found = cut_lineage(found.groupBy("a", "b").agg(F.min("crowd").alias("crowd")))
+    kept = found.where("crowd").groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
+    return found.where("NOT crowd").select("a", "b").unionByName(kept.select("a", F.explode(F.array("least", "most")).alias("b"))).distinct()
 
 
 def crowded(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Keys under which other nodes may be stored than the two that ``ties`` compares."""
+    """Keys under which other nodes may be stored than the two that ``ties`` compares, as it finds them."""
     fp = scheme.columns[0]
     held = _keyed(nodes.select(*scheme.columns), False, scheme).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(fp).alias("lo"), F.max(fp).alias("hi"))
-    return held.where("n > 2 OR (n = 2 AND lo = hi)").select("key")
+    return held.where(CROWDED).select("key")
 
 
 def links(nodes: DataFrame, scheme: Scheme = THREE_BITS, only: DataFrame | None = None) -> DataFrame:
