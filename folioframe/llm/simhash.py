@@ -302,11 +302,12 @@ def _keyed(nodes: DataFrame, probe: bool, scheme: Scheme) -> DataFrame:
 CROWDED = "(n > 2 OR (n = 2 AND lo = hi))"
 
 
-def ties(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b): each node a with the smallest and the largest node stored under each of its probed keys that are near.
+def ties(nodes: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(a, b): each node a with the smallest and the largest node stored under each of its probed keys that are near; and
+    the crowded keys (key), under which there may be others.
 
-    Of those under crowded keys, which are joined in full later, a node keeps its smallest and its largest. Runs a job
-    when called."""
+    Of its ties under crowded keys, which are joined in full later, a node keeps its smallest and its largest. Both come
+    from one written table, so stored keys are dealt once. Runs a job when called."""
     fp, *rest = scheme.columns
     ends = [x for p, least, by in (("f_", F.min, F.min_by), ("l_", F.max, F.max_by)) for x in (least(fp).alias(p + fp), *[by(c, fp).alias(p + c) for c in rest])]
     held = (F.count(F.lit(1)).alias("n"), F.min(fp).alias("lo"), F.max(fp).alias("hi"))
@@ -315,17 +316,13 @@ def ties(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     tied = lambda p: scheme.near("a_", p) & (scheme.node("a_") != scheme.node(p))
     met = probed.join(ended, (F.col("a_key") == F.col("key")) & (tied("f_") | tied("l_")))
     each = F.array(*[F.when(tied(p), scheme.node(p)) for p in ("f_", "l_")])
-    found = met.select(scheme.node("a_").alias("a"), F.explode(each).alias("b"), "crowd").where("b IS NOT NULL")
-    found = cut_lineage(found.groupBy("a", "b").agg(F.min("crowd").alias("crowd")))
-    kept = found.where("crowd").groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
-    return found.where("NOT crowd").select("a", "b").unionByName(kept.select("a", F.explode(F.array("least", "most")).alias("b"))).distinct()
-
-
-def crowded(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Keys under which other nodes may be stored than the two that ``ties`` compares, as it finds them."""
-    fp = scheme.columns[0]
-    held = _keyed(nodes.select(*scheme.columns), False, scheme).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(fp).alias("lo"), F.max(fp).alias("hi"))
-    return held.where(CROWDED).select("key")
+    found = met.select(scheme.node("a_").alias("a"), F.explode(each).alias("b"), "crowd", F.lit(None).cast("long").alias("key")).where("b IS NOT NULL")
+    none = F.lit(None).cast(found.schema["a"].dataType)
+    both = cut_lineage(found.unionByName(ended.where("crowd").select(none.alias("a"), none.alias("b"), "crowd", "key")))
+    tied_ = both.where("key IS NULL")
+    kept = tied_.where("crowd").groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
+    pairs = tied_.where("NOT crowd").select("a", "b").unionByName(kept.select("a", F.explode(F.array("least", "most")).alias("b")))
+    return pairs.distinct(), both.where("key IS NOT NULL").select("key")
 
 
 def links(nodes: DataFrame, scheme: Scheme = THREE_BITS, only: DataFrame | None = None) -> DataFrame:
@@ -374,11 +371,11 @@ def components(fps: DataFrame, by: str, scheme: Scheme = THREE_BITS) -> DataFram
     """
     names = list(scheme.columns)
     nodes = cut_lineage(fps.groupBy(*names).agg(F.min(by).alias("least_id")).withColumn("node", scheme.node()))
-    tied = cut_lineage(ties(nodes.select(*names), scheme))
+    pairs, crowded = ties(nodes.select(*names), scheme)
+    tied = cut_lineage(pairs)
     labelled = nodes.join(hook(tied), "node", "left") if not tied.isEmpty() else nodes.withColumn("label", F.lit(None).cast(nodes.schema["node"].dataType))
     labelled = cut_lineage(labelled)
-    only = checked(cut_lineage(crowded(nodes, scheme)))
-    edges = cut_lineage(links(labelled, scheme, only).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
+    edges = cut_lineage(links(labelled, scheme, checked(crowded)).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
     whole = labelled.withColumn("label", F.coalesce("label", "node"))
     if not edges.isEmpty():
         top = hook(edges).select(F.col("node").alias("label"), F.col("label").alias("top"))
