@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checked, cut_lineage, table
+from ._common import checked, cut_lineage, remove, stored, table
 from ._words import blocks, shingles, words_of, xxh64
 
 SEED = 42
@@ -55,6 +55,7 @@ SHINGLE = 3
 MAX_BITS = 3
 NEAR_SHINGLE = 5
 WORD_BYTES = 16  # a longer word weighs no more
+FEW = 200_000  # pairs that one task may hook, some 25 MB; more are dealt over the cluster
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the Golay code
 SEGMENTS = ((41, 23), (18, 23), (0, 18))  # (shift, width), high to low
 
@@ -302,12 +303,12 @@ def _keyed(nodes: DataFrame, probe: bool, scheme: Scheme) -> DataFrame:
 CROWDED = "(n > 2 OR (n = 2 AND lo = hi))"
 
 
-def ties(nodes: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """(a, b): each node a with the smallest and the largest node stored under each of its probed keys that are near; and
-    the crowded keys (key), under which there may be others.
+def ties(nodes: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame, str]:
+    """(a, b): each node a with the smallest and the largest node stored under each of its probed keys that are near; the
+    crowded keys (key), under which there may be others; and the path of the written table that both are read from.
 
     Of its ties under crowded keys, which are joined in full later, a node keeps its smallest and its largest. Both come
-    from one written table, so stored keys are dealt once. Runs a job when called."""
+    from one table, so stored keys are dealt once. Runs a job when called."""
     fp, *rest = scheme.columns
     ends = [x for p, least, by in (("f_", F.min, F.min_by), ("l_", F.max, F.max_by)) for x in (least(fp).alias(p + fp), *[by(c, fp).alias(p + c) for c in rest])]
     held = (F.count(F.lit(1)).alias("n"), F.min(fp).alias("lo"), F.max(fp).alias("hi"))
@@ -318,11 +319,11 @@ def ties(nodes: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     each = F.array(*[F.when(tied(p), scheme.node(p)) for p in ("f_", "l_")])
     found = met.select(scheme.node("a_").alias("a"), F.explode(each).alias("b"), "crowd", F.lit(None).cast("long").alias("key")).where("b IS NOT NULL")
     none = F.lit(None).cast(found.schema["a"].dataType)
-    both = cut_lineage(found.unionByName(ended.where("crowd").select(none.alias("a"), none.alias("b"), "crowd", "key")))
+    both, path = stored(found.unionByName(ended.where("crowd").select(none.alias("a"), none.alias("b"), "crowd", "key")))
     tied_ = both.where("key IS NULL")
     kept = tied_.where("crowd").groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
     pairs = tied_.where("NOT crowd").select("a", "b").unionByName(kept.select("a", F.explode(F.array("least", "most")).alias("b")))
-    return pairs.distinct(), both.where("key IS NOT NULL").select("key")
+    return pairs.distinct(), both.where("key IS NOT NULL").select("key"), path
 
 
 def links(nodes: DataFrame, scheme: Scheme = THREE_BITS, only: DataFrame | None = None) -> DataFrame:
@@ -340,27 +341,32 @@ def links(nodes: DataFrame, scheme: Scheme = THREE_BITS, only: DataFrame | None
     return joined.select(scheme.node("a_").alias("a"), scheme.node("b_").alias("b"), *(["la", "lb"] if extra else [])).distinct()
 
 
-def hook(edges: DataFrame) -> DataFrame:
-    """Connected components of the pairs (a, b): every node with the smallest node of its component (node, label).
+def hook(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Connected components of the pairs (a, b): every node with the smallest node of its component (node, label), and the
+    path of the written table that holds them.
 
     Each round takes the smallest neighbouring label, passes it to the old label's node and follows the new label
-    one step, so the rounds grow with the logarithm of the longest chain. Labels are written after each round.
+    one step, so the rounds grow with the logarithm of the longest chain. Labels are written after each round, and those
+    of the round before are deleted. FEW pairs at most are hooked in one task, by the same rounds without a shuffle.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    few = edges.limit(FEW + 1).count() <= FEW
+    whole = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    both = whole(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels, path = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
+        labels = whole(labels)
         sent = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        best = labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("best"))
+        best = whole(labels.unionByName(sent)).groupBy("node").agg(F.min("label").alias("best"))
         both_known = labels.join(best, "node").select("node", F.col("label").alias("old"), "best")
-        up = both_known.select(F.col("old").alias("node"), F.col("best").alias("label"))
-        now = both_known.select("node", F.col("best").alias("label")).unionByName(up).groupBy("node").agg(F.min("label").alias("label"))
+        up = both_known.select(F.col("old").alias("node"), F.col("best").alias("label"), F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        passed = both_known.select("node", F.col("best").alias("label"), F.col("old").alias("was")).unionByName(up)
+        now = whole(passed).groupBy("node").agg(F.min("label").alias("label"), F.min("was").alias("was"))
         step = now.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = now.join(step, "label").select("node", F.least("label", "next").alias("label"))
-        was = labels.select("node", F.col("label").alias("was"))
-        after = cut_lineage(moved.join(was, "node"))
-        labels = after.select("node", "label")
+        after, now_at = stored(now.join(step, "label").select("node", F.least("label", "next").alias("label"), "was"))
+        remove(edges.sparkSession, path)
+        labels, path = after.select("node", "label"), now_at
         if after.where(F.col("label") != F.col("was")).isEmpty():
-            return labels
+            return labels, path
 
 
 def components(fps: DataFrame, by: str, scheme: Scheme = THREE_BITS) -> DataFrame:
@@ -370,16 +376,23 @@ def components(fps: DataFrame, by: str, scheme: Scheme = THREE_BITS) -> DataFram
     fps is read several times, so it should be a written table (see ``cut_lineage``). Runs jobs when called.
     """
     names = list(scheme.columns)
+    spark = fps.sparkSession
     nodes = cut_lineage(fps.groupBy(*names).agg(F.min(by).alias("least_id")).withColumn("node", scheme.node()))
-    pairs, crowded = ties(nodes.select(*names), scheme)
-    tied = cut_lineage(pairs)
-    labelled = nodes.join(hook(tied), "node", "left") if not tied.isEmpty() else nodes.withColumn("label", F.lit(None).cast(nodes.schema["node"].dataType))
-    labelled = cut_lineage(labelled)
-    edges = cut_lineage(links(labelled, scheme, checked(crowded)).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
+    pairs, crowded, ties_at = ties(nodes.select(*names), scheme)
+    tied, tied_at = stored(pairs)
+    labelled, done = nodes.withColumn("label", F.lit(None).cast(nodes.schema["node"].dataType)), [ties_at, tied_at]
+    if not tied.isEmpty():
+        labels, labels_at = hook(tied)
+        labelled, done = nodes.join(labels, "node", "left"), [*done, labels_at]
+    labelled, _ = stored(labelled)
+    edges, edges_at = stored(links(labelled, scheme, checked(crowded)).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
+    for path in done:
+        remove(spark, path)
     whole = labelled.withColumn("label", F.coalesce("label", "node"))
     if not edges.isEmpty():
-        top = hook(edges).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        top = hook(edges)[0].select(F.col("node").alias("label"), F.col("label").alias("top"))
         whole = whole.join(top, "label", "left").withColumn("label", F.coalesce("top", "label"))
+    remove(spark, edges_at)
     least = whole.groupBy("label").agg(F.min("least_id").alias("component"))
     return fps.join(whole.select(*names, "label").join(least, "label").select(*names, "component"), names)
 

@@ -185,7 +185,7 @@ def test_ties_stand_for_links(spark):
     pairs = simhash.links(nodes).count()
     assert pairs == sum((a ^ b).bit_count() <= 3 for a, b in itertools.combinations(fps, 2))
     # What the ties do not compare lies under crowded keys.
-    two, crowded = simhash.ties(nodes, simhash.THREE_BITS)
+    two, crowded, _ = simhash.ties(nodes, simhash.THREE_BITS)
     tied = {frozenset((r.a, r.b)) for r in two.collect()}
     under = {frozenset((r.a, r.b)) for r in simhash.links(nodes, only=crowded).collect()}
     assert len(tied | under) == pairs
@@ -193,12 +193,14 @@ def test_ties_stand_for_links(spark):
     assert got == brute_components([(i, f"{f & (2**64 - 1):x}") for i, f in rows])
 
 
-def test_hooking_follows_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, simhash.FEW])
+def test_hooking_follows_a_long_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     n = 60
     order = list(range(n))
     random.Random(2).shuffle(order)
     edges = spark.createDataFrame([tuple(sorted(p)) for p in zip(order, order[1:])], "a long, b long")
-    assert {r.label for r in simhash.hook(edges).collect()} == {0}
+    assert {r.label for r in simhash.hook(edges)[0].collect()} == {0}
 
 
 def test_simhash_on_awkward_rows(awkward):
