@@ -55,7 +55,7 @@ SHINGLE = 3
 MAX_BITS = 3
 NEAR_SHINGLE = 5
 WORD_BYTES = 16  # a longer word weighs no more
-FEW = 200_000  # pairs that one task may hook, some 25 MB; more are dealt over the cluster
+FEW = 200_000  # pairs that one task hooks; of more, tasks first make forests
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the Golay code
 SEGMENTS = ((41, 23), (18, 23), (0, 18))  # (shift, width), high to low
 
@@ -341,31 +341,75 @@ def links(nodes: DataFrame, scheme: Scheme = THREE_BITS, only: DataFrame | None
     return joined.select(scheme.node("a_").alias("a"), scheme.node("b_").alias("b"), *(["la", "lb"] if extra else [])).distinct()
 
 
-def hook(edges: DataFrame) -> tuple[DataFrame, str]:
-    """Connected components of the pairs (a, b): every node with the smallest node of its component (node, label), and the
-    path of the written table that holds them.
+def _least(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Of each of the nodes 0 to n - 1 the least of its component under the pairs (u, v)."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((up := label[label]) != label).any():
+            label = up
+    return label
+
+
+def _hooked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) of a task to (node, label), as ``hook``."""
+    got = list(batches)
+    if not got:
+        return
+    ends = pa.concat_arrays([batch.column(c) for c in ("a", "b") for batch in got])
+    got.clear()
+    values = [x.to_numpy(zero_copy_only=False) for x in (ends.flatten() if pa.types.is_struct(ends.type) else [ends])]
+    order = np.lexsort(values[::-1])
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([np.diff(x[order]) != 0 for x in values], axis=0)
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(fresh) - 1
+    nodes = ends.take(pa.array(order[fresh]))
+    label = _least(*index.reshape(2, -1), len(nodes))
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], ["node", "label"])
+
 
-    Each round takes the smallest neighbouring label, passes it to the old label's node and follows the new label
-    one step, so the rounds grow with the logarithm of the longest chain. Labels are written after each round, and those
-    of the round before are deleted. FEW pairs at most are hooked in one task, by the same rounds without a shuffle.
+def hook(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Connected components of the pairs (a, b), a <> b: every node with the smallest node of its component (node, label),
+    and the path of the written table that holds them.
+
+    FEW pairs at most are hooked in one task and one job: rounds of jobs fill the driver's memory with their plans. Of
+    more pairs, tasks of some 2 * FEW each keep a spanning forest, for as long as that leaves fewer pairs to hook. What
+    remains too many is hooked over the cluster: each round takes the smallest neighbouring label, passes it to the old
+    label's node and follows the new label one step, so the rounds grow with the logarithm of the longest chain. Labels
+    are written after each round, and those of the round before are deleted.
     """
-    few = edges.limit(FEW + 1).count() <= FEW
-    whole = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-    both = whole(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    spark, kind = edges.sparkSession, edges.schema["a"].dataType.simpleString()
+    n, before = edges.count(), None
+    while True:
+        tasks = 1 if n <= FEW else -(-n // max(1, 2 * FEW))
+        labels, forest = stored(edges.select("a", "b").coalesce(tasks).mapInArrow(_hooked, f"node {kind}, label {kind}"))
+        if before:
+            remove(spark, before)
+        if tasks == 1:
+            return labels, forest
+        edges, before = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")), forest
+        n, were = edges.count(), n
+        if n > 0.7 * were:
+            break
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels, path = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
-        labels = whole(labels)
         sent = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        best = whole(labels.unionByName(sent)).groupBy("node").agg(F.min("label").alias("best"))
+        best = labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("best"))
         both_known = labels.join(best, "node").select("node", F.col("label").alias("old"), "best")
         up = both_known.select(F.col("old").alias("node"), F.col("best").alias("label"), F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
         passed = both_known.select("node", F.col("best").alias("label"), F.col("old").alias("was")).unionByName(up)
-        now = whole(passed).groupBy("node").agg(F.min("label").alias("label"), F.min("was").alias("was"))
+        now = passed.groupBy("node").agg(F.min("label").alias("label"), F.min("was").alias("was"))
         step = now.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after, now_at = stored(now.join(step, "label").select("node", F.least("label", "next").alias("label"), "was"))
-        remove(edges.sparkSession, path)
+        remove(spark, path)
         labels, path = after.select("node", "label"), now_at
         if after.where(F.col("label") != F.col("was")).isEmpty():
+            remove(spark, forest)
             return labels, path
 
 

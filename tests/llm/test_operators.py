@@ -203,6 +203,28 @@ def test_hooking_follows_a_long_chain(spark, monkeypatch, few):
     assert {r.label for r in simhash.hook(edges)[0].collect()} == {0}
 
 
+@pytest.mark.parametrize("few, jobs", [(0, 200), (150, 12), (simhash.FEW, 6)])
+def test_hooking_finds_the_components_in_few_jobs(spark, monkeypatch, few, jobs):
+    """Rounds of joins for a few pairs filled the driver's memory."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = random.Random(5)
+    pairs = [(a, b) for a in range(-30, 30) for b in rng.choices(range(a % 6 - 30, 30, 6), k=14) if a != b]
+    least = {x: x for p in pairs for x in p}
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    node = lambda x: F.struct((F.col(x) % 7).alias("fp"), F.col(x).alias("five")).alias(x)
+    groups = {}
+    for x, y in least.items():
+        groups.setdefault(y, []).append((math.fmod(x, 7), x))
+    edges = spark.createDataFrame(pairs, "a long, b long").select(node("a"), node("b")).repartition(4).cache()
+    spark.sparkContext.setJobGroup(f"hook {few}", "")
+    labels, path = simhash.hook(edges)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"hook {few}")) <= jobs
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((tuple(r.node), tuple(r.label)) for r in labels.collect()) == sorted((x, min(xs)) for xs in groups.values() for x in xs)
+
+
 def test_simhash_on_awkward_rows(awkward):
     got = simhash.simhash_components(awkward).collect()
     assert len(got) == awkward.count()
