@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,35 +15,120 @@ from ..sources.synthetic import PAGE
 from .groups import map_groups
 
 
-def breaks(p: str, q: str) -> Column:
-    """Whether glyph q (columns q + x0...) starts a new line after glyph p."""
-    c = lambda a, s: F.col(a + s)
-    hp, hq = c(p, "y1") - c(p, "y0"), c(q, "y1") - c(q, "y0")
-    tall, low = F.greatest(hp, hq), F.least(hp, hq)
-    overlap = F.greatest(F.lit(0.0), F.least(c(p, "y1"), c(q, "y1")) - F.greatest(c(p, "y0"), c(q, "y0"))) / low
-    apart = F.abs((c(p, "y0") + c(p, "y1") - c(q, "y0") - c(q, "y1")) / 2)
-    jump = (overlap < 0.20) & (apart > 0.80 * tall) | (overlap >= 0.50) & ((c(q, "x0") - c(p, "x1") > 6 * tall) | (c(p, "x0") - c(q, "x1") > 2 * tall))
-    return F.when((hp <= 0) | (hq <= 0), False).otherwise(jump)
-
-
-def glyphs_to_lines(tokens: DataFrame) -> DataFrame:
+SIDES = ("x0", "y0", "x1", "y1")
+PART_BYTES = 1 << 20  # of text that is taken apart at once, or one row
+
+
+def breaks(p: dict[str, np.ndarray], q: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether each glyph of q starts a new line after that of p."""
+    hp, hq = p["y1"] - p["y0"], q["y1"] - q["y0"]
+    tall, low = np.maximum(hp, hq), np.minimum(hp, hq)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        overlap = np.maximum(0.0, np.minimum(p["y1"], q["y1"]) - np.maximum(p["y0"], q["y0"])) / low
+        apart = np.abs((p["y0"] + p["y1"] - q["y0"] - q["y1"]) / 2)
+        jump = (overlap < 0.20) & (apart > 0.80 * tall) | (overlap >= 0.50) & ((q["x0"] - p["x1"] > 6 * tall) | (p["x0"] - q["x1"] > 2 * tall))
+        return jump & ~((hp <= 0) | (hq <= 0))
+
+
+def token_glyphs(tokens: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Tokens (kind, text and a box each) as columns of glyphs; a token without text has no ink."""
+    text = tokens.column("text")
+    kind, filled = tokens.column("kind"), text.fill_null("").cast(pa.large_string())
+    brk = pc.equal(kind, "line_break").fill_null(False).to_numpy(zero_copy_only=False)
+    blank = pc.is_in(text, pa.array([" ", "\t", None], text.type)).to_numpy(zero_copy_only=False)
+    glyph = pc.equal(kind, "glyph").fill_null(False).to_numpy(zero_copy_only=False)
+    off = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    row = np.flatnonzero(~brk)
+    side = {s: np.asarray(tokens.column(s).to_numpy(zero_copy_only=False), np.float64)[row] for s in SIDES}
+    return {"row": row, "run": np.cumsum(brk)[row], "ink": (glyph & ~blank)[row], "data": np.frombuffer(filled.buffers()[2] or b"", np.uint8), "start": off[:-1][row], "end": off[1:][row], **side}
+
+
+def _changes(batch: pa.RecordBatch) -> np.ndarray:
+    """Whether each row but the first is on another page than the row before it."""
+    out = np.zeros(max(0, batch.num_rows - 1), bool)
+    for name in PAGE:
+        c = batch.column(name)
+        nulls = c.is_null().to_numpy(zero_copy_only=False)
+        out |= pc.not_equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False) | (nulls[1:] != nulls[:-1])
+    return out
+
+
+def _lines(batch: pa.RecordBatch, glyphs: dict[str, np.ndarray], page: np.ndarray, first: int) -> tuple[pa.RecordBatch, int]:
+    """The lines of a batch's glyphs, and how many the last page has. page: of each row, from 0; page 0 has ``first`` lines
+    from before."""
+    last = int(page[-1])
+    ink = np.flatnonzero(glyphs["ink"])
+    if not len(ink):
+        return _made(batch, ink, [], {s: np.empty(0) for s in SIDES}, ink), first if last == 0 else 0
+    box = {s: glyphs[s][ink] for s in SIDES}
+    on, run = page[glyphs["row"]], glyphs["run"]
+    part = np.append(0, np.cumsum((run[1:] != run[:-1]) | (on[1:] != on[:-1])))  # runs of a page, in sequence
+    fresh = np.ones(len(ink), bool)
+    fresh[1:] = (np.diff(part[ink]) != 0) | breaks({s: v[:-1] for s, v in box.items()}, {s: v[1:] for s, v in box.items()})
+    begin = np.flatnonzero(fresh)
+    start = ink[begin]  # a line reaches to the next one or to the end of its run
+    end = np.minimum(np.append(start[1:], len(part)), np.searchsorted(part, part[start], "right"))
+    text = [glyphs["data"][a:b].tobytes().decode() for a, b in zip(glyphs["start"][start].tolist(), glyphs["end"][end - 1].tolist())]
+    sides = {s: (np.fmin if s in ("x0", "y0") else np.fmax).reduceat(box[s], begin) for s in SIDES}
+    at = on[start]
+    before = np.bincount(at, minlength=last + 1)
+    index = np.arange(len(at)) - (np.cumsum(before) - before)[at] + np.where(at == 0, first, 0)
+    return _made(batch, glyphs["row"][start], text, sides, index), int(before[last]) + (first if last == 0 else 0)
+
+
+def _made(batch: pa.RecordBatch, row: np.ndarray, text: list[str], sides: dict[str, np.ndarray], index: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(row, pa.int64())
+    columns = [*[batch.column(c).take(at) for c in PAGE], pa.array(text, pa.string()), *[pa.array(sides[s], pa.float64(), from_pandas=True) for s in SIDES], pa.array(index, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, [*PAGE, "text", *SIDES, "line_index"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that end with a line break or with the last row."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ends = pc.equal(batch.column("kind"), "line_break").fill_null(False).to_numpy(zero_copy_only=False).nonzero()[0]
+        if len(ends):
+            yield pa.Table.from_batches([*held, batch.slice(0, ends[-1] + 1)]).combine_chunks().to_batches()[0]
+            held, batch = [], batch.slice(ends[-1] + 1)
+        held += [batch] if batch.num_rows else []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some PART_BYTES of text."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(size // PART_BYTES)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
+def glyphs_to_lines(tokens: DataFrame, order: str = "token_index", glyphs: Callable[[pa.RecordBatch], dict[str, np.ndarray]] | None = None) -> DataFrame:
     """Lines of glyph tokens: a line break or a geometric jump ends a line, leading blanks are skipped, inner and
-    trailing blanks are text but do not widen the box."""
-    seq = Window.partitionBy(*PAGE).orderBy("token_index")
-    blank = F.col("text").isin(" ", "\t")
-    tok = tokens.withColumns({"brk": (F.col("kind") == "line_break").cast("int"), "ink": (F.col("kind") == "glyph") & ~blank})
-    tok = tok.withColumn("run", F.sum("brk").over(seq)).where("brk = 0")
-    here = Window.partitionBy(*PAGE, "run").orderBy("token_index").rowsBetween(Window.unboundedPreceding, -1)
-    sides = ("x0", "y0", "x1", "y1")
-    tok = tok.withColumn("p", F.last(F.when(F.col("ink"), F.struct(*sides)), True).over(here)).withColumns({f"p_{s}": F.col(f"p.{s}") for s in sides}).withColumns({f"q_{s}": F.col(s) for s in sides})
-    fresh = F.when(~F.col("ink"), 0).when(F.col("p").isNull(), 1).otherwise(F.coalesce(breaks("p_", "q_"), F.lit(False)).cast("int"))
-    tok = tok.withColumn("fresh", fresh)
-    up_to = Window.partitionBy(*PAGE, "run").orderBy("token_index").rowsBetween(Window.unboundedPreceding, 0)
-    tok = tok.withColumn("part", F.sum("fresh").over(up_to)).where("part > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_index", "text"))), lambda x: x["text"]), "")
-    ink = lambda agg, s: agg(F.when(F.col("ink"), F.col(s))).alias(s)
-    out = tok.groupBy(*PAGE, "run", "part").agg(text.alias("text"), ink(F.min, "x0"), ink(F.min, "y0"), ink(F.max, "x1"), ink(F.max, "y1"))
-    return out.withColumn("line_index", F.row_number().over(Window.partitionBy(*PAGE).orderBy("run", "part")) - 1).drop("run", "part")
+    trailing blanks are text but do not widen the box.
+
+    A row is a token, or with ``glyphs`` all tokens up to a line break, packed: that takes a batch of rows apart into
+    columns with a place for each token but line breaks, so that no row a character is dealt or sorted (row and run: its
+    row and the number of breaks before it; start and end: its text in the bytes ``data``, where a run's texts follow each
+    other; ink; x0, y0, x1, y1). Pages are read in sequence and need not fit in memory.
+    """
+    packed, take = glyphs is not None, glyphs or token_glyphs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = None, 0
+        for batch in _parts(batches) if packed else _whole(batches):
+            if not batch.num_rows:
+                continue
+            ends = [tuple(batch.column(c)[i].as_py() for c in PAGE) for i in (0, -1)]
+            page = np.append(0, np.cumsum(_changes(batch)))
+            made, n = _lines(batch, take(batch), page, n if key == ends[0] else 0)
+            key = ends[1]
+            yield made
+
+    kind = {f.name: f.dataType.simpleString() for f in tokens.schema}
+    schema = ", ".join([*(f"{c} {kind[c]}" for c in PAGE), "text string", *(f"{s} double" for s in SIDES), "line_index int"])
+    return tokens.repartition(*PAGE).sortWithinPartitions(*PAGE, order).mapInArrow(run, schema)
 
 
 def vertical_coverage(lines: DataFrame, height: float) -> DataFrame:
